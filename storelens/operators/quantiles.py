@@ -6,9 +6,10 @@ rule of ``numpy.quantile`` / ``pandas.qcut``). Two ways to get them:
 * ``method="count"`` — Spark's ``percentile`` aggregate. Its buffer is a
   value→count map per group, so memory grows with the number of *distinct*
   values in a group: right for small domains (day counts, item counts).
-* ``method="sort"`` — order statistics from :func:`group_rank`, which spreads
-  each group over many partitions: right for continuous values (money) in
-  groups of any size.
+* ``method="window"`` / ``"sort"`` — order statistics from
+  :func:`group_rank`: right for continuous values (money). ``"window"``
+  sorts each group in one task (groups of proven bounded size), ``"sort"``
+  spreads every group over many partitions (groups of any size).
 """
 
 from __future__ import annotations
@@ -37,10 +38,11 @@ def quantile_edges(df: DataFrame, by: Sequence[str], x: str, n: int = 4, *,
     if method == "count":
         q = vals.groupBy(*by).agg(F.percentile(F.col(x).cast("double"), _fractions(n)).alias("_q"))
         return q.select(*by, *[F.col("_q")[k].alias(f"{prefix}{k}") for k in range(n + 1)])
-    if method != "sort":
-        raise ValueError(f"method must be 'count' or 'sort', not {method!r}")
+    if method not in ("window", "sort"):
+        raise ValueError(f"method must be 'count', 'window' or 'sort', not {method!r}")
     # Order statistics by position: edge k sits at 0-based h = (N-1)k/n.
-    ranked = group_rank(vals, by, [F.col(x)], groups_small=groups_small, rank="_r", size="_N")
+    ranked = group_rank(vals, by, [F.col(x)], groups_small=groups_small, method=method,
+                        rank="_r", size="_N")
     pos = F.col("_r") - 1
     picks, aggs = [], []
     for k in range(n + 1):
@@ -92,13 +94,13 @@ def qcut_value(df: DataFrame, by: Sequence[str], x: str, out: str, n: int = 4, *
 
 
 def qcut_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str, n: int = 4, *,
-              reverse: bool = False, groups_small: bool = False) -> DataFrame:
+              reverse: bool = False, method: str = "sort", groups_small: bool = False) -> DataFrame:
     """Quantile bin of each row's rank ``r`` (1…N, ties broken by ``order``).
 
     Equals ``qcut(rank(method='first'), n)``: bin = max(1, ceil(n(r-1)/(N-1))),
     and 1 when N = 1. This is not ``ntile``, which fills the first bins first.
     """
-    ranked = group_rank(df, by, order, groups_small=groups_small, rank="_r", size="_N")
+    ranked = group_rank(df, by, order, groups_small=groups_small, method=method, rank="_r", size="_N")
     # ceil(a / b) for a >= 0, b > 0 is (a + b - 1) div b, in exact integers.
     ceil_bin = F.expr(f"({n} * (_r - 1) + _N - 2) div (_N - 1)")
     b = F.when(F.col("_N") <= 1, F.lit(1)).otherwise(F.greatest(F.lit(1), ceil_bin))

@@ -13,6 +13,8 @@ from storelens.session import ensure_checkpoint_dir
 _PARTITION_SHIFT = 33
 # A span table (group, partition) is broadcast only up to this many partitions.
 MAX_BROADCAST_SPANS = 200_000
+# Largest group one window task may sort; bigger groups take the sort path.
+WINDOW_MAX_ROWS = 5_000_000
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
@@ -27,12 +29,32 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Row count of the largest ``by`` group (0 for an empty frame)."""
+    row = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m")).first()
+    return row["m"] or 0
+
+
+def rank_method(df: DataFrame, by: Sequence[str], max_rows: int = WINDOW_MAX_ROWS) -> str:
+    """``'window'`` when every group provably fits one task, else ``'sort'``.
+
+    Runs one aggregate over ``df``; checkpoint ``df`` first when it is
+    expensive to compute, so the check and the ranks read the same data.
+    """
+    return "window" if largest_group(df, by) <= max_rows else "sort"
+
+
 def group_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], *,
-               groups_small: bool, rank: str = "rank", size: str = "group_size") -> DataFrame:
+               groups_small: bool, method: str = "sort", rank: str = "rank",
+               size: str = "group_size") -> DataFrame:
     """Add the 1-based position of each row in its ``by`` group, and the group size.
 
     ``order`` must be a total order inside a group (end it with a unique
-    key); group keys must be non-null. Instead of one window task per group,
+    key); group keys must be non-null.
+
+    ``method='window'``: ``row_number`` over a window per group — one task
+    sorts a whole group, so use it only for groups of proven bounded size
+    (:func:`rank_method`). ``method='sort'``: instead of one task per group,
     the frame is range-sorted by (group, order) — a group of any size spreads
     over many partitions — and each row gets its position in the sorted
     partition from ``monotonically_increasing_id``. The sorted, tagged frame
@@ -44,6 +66,12 @@ def group_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], *,
     they are stores and the stores table fits a broadcast), so the span
     table — at most groups + partitions rows — is broadcast.
     """
+    if method == "window":
+        w = Window.partitionBy(*by)
+        return df.withColumn(rank, F.row_number().over(w.orderBy(*order))) \
+            .withColumn(size, F.count(F.lit(1)).over(w))
+    if method != "sort":
+        raise ValueError(f"method must be 'window' or 'sort', not {method!r}")
     ensure_checkpoint_dir(df.sparkSession)
     keys = [F.col(c) for c in by]
     tagged = (df.sort(*keys, *order)

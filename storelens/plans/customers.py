@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from storelens.functions.dates import in_years, whole_days
 from storelens.operators.densify import densify
 from storelens.operators.quantiles import qcut_rank, qcut_value
+from storelens.operators.ranking import rank_method
 from storelens.plans.common import known_stores, order_item_sums, order_value, store_filter
+from storelens.session import ensure_checkpoint_dir
 from storelens.sources.tables import ShopTables
 
 # Fixed value: number of score bins and segments.
@@ -49,9 +51,13 @@ def rfm_scores(t: ShopTables, year: int = 2022, duplicates: str = "skip",
     digits as text; ``segment`` bins the rank of that text (ties by customer
     id), 1 the best quarter.
 
-    Every statistic is per store: recency quartiles use Spark's exact
-    ``percentile`` (a day-count domain), the others distributed ranks that
-    spread even a store with most customers over many tasks.
+    Every statistic is per store. The per-customer table is checkpointed
+    (it is read several times; the lineage through the order-item join is
+    cut). Recency quartiles use Spark's exact ``percentile`` (a day-count
+    domain); frequency ranks, monetary quartiles and segments use in-store
+    ranks: a window per store when the largest store is provably small
+    enough for one task, else distributed sorts that spread a store over
+    many tasks (:func:`storelens.operators.ranking.group_rank`).
     """
     rows = rfm_orders(t, year, mode)
     small = t.is_small("stores")
@@ -63,15 +69,18 @@ def rfm_scores(t: ShopTables, year: int = 2022, duplicates: str = "skip",
     cust = cust.join(F.broadcast(current) if small else current, "storeid") \
         .withColumn("recency", whole_days("last_order", "current_date")) \
         .drop("last_order", "current_date")
+    ensure_checkpoint_dir(t.spark)
+    cust = cust.checkpoint(eager=True)
+    how = rank_method(cust, ["storeid"])
     s = qcut_value(cust, ["storeid"], "recency", "r_score", RFM_BINS, method="count",
                    duplicates=duplicates, groups_small=small)
     s = qcut_rank(s, ["storeid"], [F.asc("frequency"), F.asc("customerid")], "f_score", RFM_BINS,
-                  reverse=True, groups_small=small)
-    s = qcut_value(s, ["storeid"], "monetary", "m_score", RFM_BINS, reverse=True, method="sort",
+                  reverse=True, method=how, groups_small=small)
+    s = qcut_value(s, ["storeid"], "monetary", "m_score", RFM_BINS, reverse=True, method=how,
                    duplicates=duplicates, groups_small=small)
     s = s.withColumn("rfm_score", F.concat(*[F.col(c).cast("string") for c in ("r_score", "f_score", "m_score")]))
     s = qcut_rank(s, ["storeid"], [F.asc("rfm_score"), F.asc("customerid")], "segment", RFM_BINS,
-                  groups_small=small)
+                  method=how, groups_small=small)
     return s.select("storeid", "customerid", "recency", "frequency", "monetary",
                     "r_score", "f_score", "m_score", "rfm_score", "segment")
 

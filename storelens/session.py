@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 # Settings every storelens job wants, whatever the cluster size.
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -57,3 +58,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="storelens-ckpt-", dir=os.environ.get("TMPDIR"))
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
+
+
+def plan_text(df, mode: str = "formatted") -> str:
+    """The text ``df.explain(mode)`` prints (for plan checks)."""
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode)
+    return buf.getvalue()

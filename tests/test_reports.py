@@ -1,0 +1,291 @@
+"""Reports on hand fixtures, one per semantic hazard (values worked out by hand)."""
+
+from __future__ import annotations
+
+from decimal import Decimal
+
+import pytest
+from conftest import D, make_tables, rows
+from pyspark.sql import functions as F
+
+from storelens.plans import customers, products, sales, stores
+from storelens.plans.common import order_value
+
+
+def test_h1_double_counting_modes(spark):
+    # order 1 of 3 items (10 + 12 + 5), nitems = 3: reference mode counts 3 x 27
+    t = make_tables(spark, orders=[(1, 1, 1, "2022-03-01 10:00:00", 3, 27)],
+                    items=[(1, 10), (1, 11), (1, 12)])
+    ref = rows(stores.store_year_revenue(t), "storeid", "year", "revenue")
+    item = rows(stores.store_year_revenue(t, mode="item"), "storeid", "year", "revenue")
+    assert ref == [(1, 2022, D(81))] and item == [(1, 2022, D(27))]
+    sizes = {(r["name"], r["size"]): (r["total_sold"], r["total_revenue"])
+             for r in products.product_size_sales(t).collect()}
+    assert sizes[("Margherita Pizza", 1)] == (3, D(30))
+    sizes_item = {(r["name"], r["size"]): (r["total_sold"], r["total_revenue"])
+                  for r in products.product_size_sales(t, mode="item").collect()}
+    assert sizes_item[("Margherita Pizza", 1)] == (1, D(10))
+    rfm = rows(customers.rfm_orders(t, 2022), "orderid", "total_amount")
+    assert rfm == [(1, D(81))]
+    # revenue by product counts item rows: right in both modes
+    assert sorted(rows(products.revenue_by_product(t, [2022]), "name", "total_revenue")) == [
+        ("Margherita Pizza", D(10)), ("Pepperoni Pizza", D(12)), ("Salad", D(5))]
+    with pytest.raises(ValueError):
+        order_value("other")
+
+
+def test_h2_lower_median(spark):
+    # 4 stores with item revenue 10, 20, 30, 40 in 2022 -> lower median 20
+    orders = [(i, i, i, "2022-05-05 00:00:00", 1, 1) for i in (1, 2, 3, 4)]
+    items = [(1, 10), (2, 10), (2, 10), (3, 10), (3, 10), (3, 10), (4, 10), (4, 10), (4, 10), (4, 10)]
+    t = make_tables(spark, stores=[(i, "C", 0.0, 0.0) for i in range(1, 6)], orders=orders, items=items,
+                    customers=[(c, 0.0, 0.0) for c in range(1, 6)])
+    assert rows(sales.kpi_median_store_revenue(t, 2022, mode="item"), "median_revenue") == [(20,)]
+    # a fifth store with 50 -> middle value 30
+    t5 = make_tables(spark, stores=[(i, "C", 0.0, 0.0) for i in range(1, 6)],
+                     orders=orders + [(5, 5, 5, "2022-05-05 00:00:00", 1, 1)],
+                     items=items + [(5, 10)] * 5, customers=[(c, 0.0, 0.0) for c in range(1, 6)])
+    assert rows(sales.kpi_median_store_revenue(t5, 2022, mode="item"), "median_revenue") == [(30,)]
+
+
+def test_h3_tie_rule_top_stores(spark):
+    sts = [(i, "C", 0.0, 0.0) for i in range(1, 8)]
+    amounts = {1: 100, 2: 90, 3: 80, 4: 70, 5: 60, 6: 60, 7: 10}
+    orders = [(s, s, s, "2021-06-01 00:00:00", 1, a) for s, a in amounts.items()]
+    t = make_tables(spark, stores=sts, orders=orders)
+    top = rows(sales.top_stores(t, [2021]), "storeid", "rank")
+    assert top == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]  # 5 and 6 tie: the smaller id stays
+    worst = rows(sales.worst_stores(t, [2021], k=2), "storeid", "annual_sales")
+    assert worst == [(7, D(10)), (5, D(60))]
+    table = rows(sales.stores_table(t, 2021), "store", "revenue_label")
+    assert table[0] == (1, "$100.00") and len(table) == 5
+
+
+def test_h4_whole_day_recency(spark):
+    # store 1: last order 1 Jan 12:00 -> current = 2 Jan 12:00; customer 1's last order 30 Dec 18:00
+    orders = [(1, 1, 1, "2021-12-30 18:00:00", 1, 5), (2, 2, 1, "2022-01-01 12:00:00", 1, 5)]
+    t = make_tables(spark, orders=orders, items=[(1, 10), (2, 10)])
+    rec = dict(rows(customers.rfm_scores(t, 2022), "customerid", "recency"))
+    assert rec == {2: 1}  # the 2021 order is outside year 2022
+    orders = [(1, 1, 1, "2022-12-30 18:00:00", 1, 5), (2, 2, 1, "2023-01-01 12:00:00", 1, 5)]
+    t = make_tables(spark, orders=orders, items=[(1, 10), (2, 10)])
+    assert dict(rows(customers.rfm_scores(t, 2022), "customerid", "recency")) == {1: 1}
+    orders = [(1, 1, 1, "2022-12-29 18:00:00", 1, 5), (2, 2, 1, "2022-12-31 12:00:00", 1, 5)]
+    t = make_tables(spark, orders=orders, items=[(1, 10), (2, 10)])
+    # current = 1 Jan 12:00; 29 Dec 18:00 -> 2 days 18 h -> 2 (calendar days would say 3)
+    assert dict(rows(customers.rfm_scores(t, 2022), "customerid", "recency")) == {1: 2, 2: 1}
+
+
+def test_h5_new_customers_equals_anti_join_form(spark):
+    orders = [(1, 1, 1, "2020-01-01 00:00:00", 1, 1), (2, 1, 1, "2021-01-01 00:00:00", 1, 1),
+              (3, 2, 1, "2021-02-01 00:00:00", 1, 1), (4, 2, 1, "2022-01-01 00:00:00", 1, 1),
+              (5, 3, 1, "2022-03-01 00:00:00", 1, 1), (6, None, 1, "2021-03-01 00:00:00", 1, 1)]
+    t = make_tables(spark, orders=orders)
+    got = rows(sales.kpi_new_customers(t, 2021, 2022), "new_customers_2021", "new_customers_2022")
+    assert got == [(1, 1)]
+    t.orders.createOrReplaceTempView("h5_orders")
+    literal = spark.sql("""
+        WITH first_orders AS (SELECT customerid, MIN(orderdate) AS first_order_date FROM h5_orders GROUP BY customerid),
+        pre AS (SELECT customerid FROM first_orders WHERE year(first_order_date) < 2021),
+        c21 AS (SELECT customerid FROM first_orders WHERE year(first_order_date) = 2021),
+        c22 AS (SELECT customerid FROM first_orders WHERE year(first_order_date) = 2022)
+        SELECT (SELECT COUNT(DISTINCT c21.customerid) FROM c21 LEFT JOIN pre ON c21.customerid = pre.customerid
+                WHERE pre.customerid IS NULL) AS a,
+               (SELECT COUNT(DISTINCT c22.customerid) FROM c22 LEFT JOIN c21 ON c22.customerid = c21.customerid
+                WHERE c21.customerid IS NULL) AS b""")
+    assert rows(literal, "a", "b") == got
+
+
+def test_h7_zero_base_and_summary(spark):
+    orders = [(1, 1, 1, "2022-01-05 00:00:00", 1, 100), (2, 2, 2, "2022-02-05 00:00:00", 1, 300)]
+    t = make_tables(spark, orders=orders, items=[(1, 10), (2, 11)])
+    s = sales.kpi_summary(t, 2021, 2022).first()
+    assert s["total_revenue_2022"] == D(400) and s["total_revenue_change"] is None
+    assert s["avg_revenue_per_store_2022"] == 200.0 and s["avg_revenue_per_store_change"] is None
+    assert s["new_customers_2021"] == 0 and s["new_customers_2022"] == 2 and s["new_customers_change"] == 0.0
+    assert s["total_customers"] == 10 and s["median_revenue_from_stores_2022"] == 10
+    cards = sales.kpi_cards(t, 2021, 2022).first()
+    assert cards["new_customers_card"] == "2 (0.00%)"
+    assert cards["total_revenue_card"] == "$0.00 Mio (n/a)"
+
+
+def test_summary_changes(spark):
+    orders = [(1, 1, 1, "2021-01-05 00:00:00", 1, 100), (2, 2, 2, "2022-02-05 00:00:00", 1, 150),
+              (3, 3, 2, "2022-03-05 00:00:00", 1, 50)]
+    t = make_tables(spark, orders=orders, items=[(1, 10), (2, 11), (3, 12)])
+    s = sales.kpi_summary(t, 2021, 2022, n_stores=32).first()
+    assert s["total_revenue_change"] == pytest.approx(100.0)
+    assert s["avg_revenue_per_store_2022"] == pytest.approx(200 / 32)
+    assert s["new_customers_change"] == pytest.approx(100.0)
+    assert s["average_revenue_per_store"] == pytest.approx(150.0)
+    per_year = rows(sales.kpi_avg_store_revenue_per_year(t, [2021, 2022]), "year", "avg_revenue_per_store")
+    assert per_year == [(2021, 50.0), (2022, 100.0)]
+
+
+def test_h8_hour_in_los_angeles_year_in_utc(spark):
+    orders = [(1, 1, 1, "2021-01-01 03:00:00", 1, 1),   # 19:00 on 31 Dec in LA, year 2021
+              (2, 1, 1, "2021-07-01 12:00:00", 1, 1),   # summer: UTC-7 -> 05
+              (3, 1, 1, "2021-01-15 12:00:00", 1, 1),   # winter: UTC-8 -> 04
+              (4, 1, 1, "2021-11-07 08:30:00", 1, 1),   # 01:30 PDT
+              (5, 1, 1, "2021-11-07 09:30:00", 1, 1)]   # 01:30 PST (hour repeated)
+    t = make_tables(spark, orders=orders)
+    got = rows(stores.orders_per_hour(t, [2021]), "order_year", "order_hour", "total_orders_per_hour")
+    assert got == [(2021, 1, 2), (2021, 4, 1), (2021, 5, 1), (2021, 19, 1)]
+    bands = rows(stores.orders_per_hour_band(t, [2021]), "hour_group", "total_orders")
+    assert bands == [("00-04", 2), ("04-08", 2), ("08-12", 0), ("12-16", 0), ("16-20", 1), ("20-24", 0)]
+
+
+def test_hour_band_edges_and_absent_pair(spark):
+    orders = [(1, 1, 1, "2021-06-01 07:00:00", 1, 1),   # 00:00 LA
+              (2, 1, 1, "2021-06-02 06:59:00", 1, 1)]   # 23:59 LA
+    t = make_tables(spark, orders=orders)
+    bands = rows(stores.orders_per_hour_band(t, [2021]), "storeid", "hour_group", "total_orders")
+    assert bands[0] == (1, "00-04", 1) and bands[-1] == (1, "20-24", 1) and len(bands) == 6
+    assert stores.orders_per_hour_band(t, [2021], store=2).count() == 0  # absent store-year: no rows
+
+
+def test_h9_unknown_store_and_null_customer(spark):
+    orders = [(1, 1, 1, "2022-01-01 00:00:00", 1, 10), (2, 2, 99, "2022-01-02 00:00:00", 1, 20),
+              (3, None, 1, "2022-01-03 00:00:00", 1, 30)]
+    t = make_tables(spark, orders=orders, items=[(1, 10), (2, 10), (3, 10)])
+    assert rows(sales.kpi_total_revenue(t), "total_revenue") == [(D(60),)]          # all orders
+    annual = rows(sales.store_annual_revenues(t, [2022]), "storeid", "revenue_2022")
+    assert annual == [(1, D(40))]                                                   # store 99 dropped
+    top = rows(sales.top_stores(t, [2022]), "storeid")
+    assert sorted(top) == [(1,), (99,)]                                             # kept here
+    # the null customer's order moves the store's current date (3 Jan -> 4 Jan)
+    rec = rows(customers.rfm_scores(t, 2022), "customerid", "recency")
+    assert rec == [(1, 3)]
+
+
+def test_h10_single_customer_store_and_equal_recency(spark):
+    orders = [(1, 1, 1, "2022-01-01 00:00:00", 1, 1),
+              (2, 2, 2, "2022-01-01 00:00:00", 1, 1), (3, 3, 2, "2022-01-01 00:00:00", 1, 1)]
+    t = make_tables(spark, orders=orders, items=[(1, 10), (2, 10), (3, 11)])
+    sc = {r["customerid"]: r for r in customers.rfm_scores(t, 2022).collect()}
+    assert (sc[1]["r_score"], sc[1]["f_score"], sc[1]["m_score"], sc[1]["segment"]) == (1, 4, 4, 1)
+    assert sc[2]["r_score"] == sc[3]["r_score"] == 1
+    with pytest.raises(Exception):
+        customers.rfm_scores(t, 2022, duplicates="raise").collect()
+    seg = rows(customers.rfm_segments(t, 2022, store=1), "segment", "customer_count", "avg_recency")
+    assert seg == [(1, 1, 1.0), (2, 0, None), (3, 0, None), (4, 0, None)]
+    table = rows(customers.rfm_monetary_table(t, 2022, store=1), "segment", "avg_monetary")
+    assert table == [(1, 10.0), (2, 0.0), (3, 0.0), (4, 0.0)]
+    nested = customers.rfm_segments_nested(t, 2022, store=2).first()
+    assert [x["segment"] for x in nested["rfm_data"]] == [1, 2, 3, 4]
+
+
+def test_rfm_scores_worked_example(spark):
+    # store 1, eight customers; customer c orders c times at day 31 - c, one item of price c
+    orders, items, oid = [], [], 0
+    for c in range(1, 9):
+        for _ in range(c):
+            oid += 1
+            orders.append((oid, c, 1, f"2022-01-{31 - c:02d} 00:00:00", 1, 1))
+            items.append((oid, 10))
+    products = [(10, "P", "K", 1, D(1))]
+    t = make_tables(spark, orders=orders, items=items, products=products)
+    sc = {r["customerid"]: r for r in customers.rfm_scores(t, 2022, mode="item").collect()}
+    # recency c (current = 31 Jan); edges 1, 2.75, 4.5, 6.25, 8
+    assert [sc[c]["r_score"] for c in range(1, 9)] == [1, 1, 2, 2, 3, 3, 4, 4]
+    # frequency c, rank c, N = 8: the same edges on ranks, bins reversed
+    assert [sc[c]["f_score"] for c in range(1, 9)] == [4, 4, 3, 3, 2, 2, 1, 1]
+    # monetary c * 1
+    assert [sc[c]["m_score"] for c in range(1, 9)] == [4, 4, 3, 3, 2, 2, 1, 1]
+    assert sc[1]["rfm_score"] == "144" and sc[8]["rfm_score"] == "411"
+
+
+def test_h11_pivot_zero_years_and_absent_store(spark):
+    orders = [(1, 1, 1, "2015-01-01 00:00:00", 1, 5), (2, 1, 1, "2020-02-01 00:00:00", 1, 7)]
+    t = make_tables(spark, orders=orders)
+    got = rows(sales.store_annual_revenues(t, [2018, 2019, 2020]))
+    assert got == [(1, "A", 1.0, 2.0, D(0), D(0), D(7))]   # store 2 has no orders: absent
+    m = rows(sales.sales_map(t, 2019), "storeid", "revenue")
+    assert m == [(1, D(0))]
+
+
+def test_h12_nulls_sort_last(spark):
+    t = make_tables(spark, customers=[(1, None, 1.0), (2, 2.0, 1.0), (3, 1.0, None), (4, 1.0, 0.5)])
+    assert rows(customers.customer_locations(t)) == [(1.0, 0.5), (1.0, None), (2.0, 1.0), (None, 1.0)]
+    orders = [(1, 1, 1, "2022-01-01 00:00:00", 1, 10), (2, 2, 1, "2022-01-02 00:00:00", 1, 10)]
+    t2 = make_tables(spark, orders=orders, items=[(1, 10), (2, 10)])
+    t2 = t2.with_orders(t2.orders.withColumn("total", F.when(F.col("orderid") == 2, None)
+                                             .otherwise(F.col("total"))))
+    assert rows(sales.kpi_total_revenue(t2)) == [(D(10),)]
+
+
+def test_h18_unknown_sku(spark):
+    orders = [(1, 1, 1, "2022-01-01 00:00:00", 2, 10), (2, 1, 1, "2022-02-01 00:00:00", 1, 10)]
+    t = make_tables(spark, orders=orders, items=[(1, 10), (1, 999), (2, 999)])
+    assert rows(customers.rfm_orders(t, 2022), "orderid", "total_amount") == [(1, D(20))]
+    assert dict(rows(customers.rfm_scores(t, 2022), "customerid", "frequency")) == {1: 1}
+
+
+def test_interior_month_fill(spark):
+    orders = [(1, 1, 1, "2022-01-10 00:00:00", 1, 1500), (2, 1, 1, "2022-04-10 00:00:00", 1, 2),
+              (3, 1, 2, "2022-03-03 00:00:00", 1, 9)]
+    t = make_tables(spark, orders=orders)
+    got = rows(sales.store_monthly_filled(t, 2022, store=1), "month", "month_name", "sales", "sales_label")
+    assert got == [("2022-01", "January", D(1500), "1.5k"), ("2022-02", "February", D(0), "0.0"),
+                   ("2022-03", "March", D(0), "0.0"), ("2022-04", "April", D(2), "2.0")]
+
+
+def test_monthly_map_and_totals(spark):
+    orders = [(1, 1, 1, "2022-01-10 00:00:00", 1, 15), (2, 1, 1, "2022-01-11 00:00:00", 1, 5),
+              (3, 1, 2, "2021-03-03 00:00:00", 1, 9), (4, 1, 9, "2021-03-03 00:00:00", 1, 9)]
+    t = make_tables(spark, orders=orders)
+    mm = {r["storeid"]: r["monthly_revenues"] for r in sales.store_monthly_revenue_map(t).collect()}
+    assert mm == {1: {"2022-01": D(20)}, 2: {"2021-03": D(9)}}
+    # monthly sums equal the yearly pivot over the same stores
+    piv = sales.store_annual_revenues(t, [2021, 2022]).agg(F.sum(F.col("revenue_2021") + F.col("revenue_2022")))
+    mon = sales.store_monthly_revenue(t).agg(F.sum("revenue"))
+    assert piv.first()[0] == mon.first()[0]
+
+
+def test_weekday_and_repeat(spark):
+    orders = [(1, 1, 1, "2024-01-01 10:00:00", 1, 4), (2, 1, 1, "2024-01-07 10:00:00", 1, 6),
+              (3, 1, 1, "2024-02-01 10:00:00", 1, 1), (4, 2, 1, "2024-02-01 10:00:00", 1, 1),
+              (5, 2, 2, "2024-02-01 10:00:00", 1, 1)]
+    t = make_tables(spark, orders=orders)
+    wd = rows(stores.weekday_named(t, 2024, store=1), "order_day_of_week", "day_name", "total_revenue")
+    assert wd == [(0, "Monday", D(4)), (3, "Thursday", D(2)), (6, "Sunday", D(6))]
+    rep = rows(stores.repeat_customers(t), "storeid", "city", "year", "repeat_customers")
+    assert rep == [(1, "A", 2024, 1)]
+    assert stores.repeat_customers(t, store=2).count() == 0
+
+
+def test_scatter_trend_and_categories(spark):
+    orders = [(1, 1, 1, "2021-01-01 00:00:00", 1, 1), (2, 1, 1, "2021-01-02 00:00:00", 1, 1),
+              (3, 1, 2, "2021-01-01 00:00:00", 1, 1), (4, 1, 2, "2022-01-01 00:00:00", 1, 1)]
+    items = [(1, 10), (2, 10), (3, 11), (4, 12)]
+    t = make_tables(spark, orders=orders, items=items)
+    sc = rows(stores.store_scatter(t), "storeid", "year", "revenue", "order_count")
+    assert sc == [(1, 2021, D(20), 2), (2, 2021, D(12), 1), (2, 2022, D(5), 1)]
+    tr = stores.store_trend(t).first()
+    assert tr["n"] == 3 and tr["slope"] == pytest.approx(11.5)
+    cat = rows(products.category_orders(t, [2021, 2022]), "category", "order_year", "total_orders")
+    assert cat == [("Classic", 2021, 3)]
+    share = {(r["name"], r["order_year"]): r["share"]
+             for r in products.revenue_share_by_product(t, [2021]).collect()}
+    assert share[("Margherita Pizza", 2021)] == pytest.approx(20 / 32)
+    assert sum(share.values()) == pytest.approx(1.0)
+
+
+def test_boxplot_report(spark):
+    # customer 1 buys Margherita 3 times, customer 2 twice, customer 3 once (excluded)
+    orders = [(1, 1, 1, "2022-01-01 00:00:00", 1, 1), (2, 2, 1, "2022-01-01 00:00:00", 1, 1),
+              (3, 3, 1, "2022-01-01 00:00:00", 1, 1), (4, 99, 1, "2022-01-01 00:00:00", 1, 1)]
+    items = [(1, 10), (1, 10), (1, 10), (2, 10), (2, 10), (3, 10), (4, 10), (4, 10)]
+    t = make_tables(spark, orders=orders, items=items)
+    b = products.product_boxplot(t).first()
+    assert b["name"] == "Margherita Pizza"   # customer 99 is unknown: excluded
+    assert (b["min"], b["q1"], b["median"], b["q3"], b["max"]) == (2.0, 2.25, 2.5, 2.75, 3.0)
+    assert b["lower_whisker"] == 2.0 and b["upper_whisker"] == 3.0 and b["iqr"] == 0.5
+
+
+def test_misc_small_reports(spark):
+    t = make_tables(spark, stores=[(1, "A", 1.0, 2.0), (2, "A", 3.0, 6.0), (3, "B", 0.0, 0.0)])
+    assert rows(stores.store_locations(t)) == [("A", 2.0, 4.0), ("B", 0.0, 0.0)]
+    assert sorted(rows(stores.store_ids(t))) == [(1,), (2,), (3,)]
+    assert rows(customers.kpi_total_customers(t)) == [(10,)]
+    assert isinstance(D(1), Decimal)
