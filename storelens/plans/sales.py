@@ -129,39 +129,43 @@ def kpi_summary(t: ShopTables, y0: int = 2021, y1: int = 2022, n_stores: int | N
                 mode: str = "reference") -> DataFrame:
     """Q15: one row of headline figures and their change from ``y0`` to ``y1``.
 
-    Each figure is a scalar subquery; the yearly sums come from one
-    aggregate of orders by (store, year) that Spark computes once and reuses.
-    A year without orders counts as 0 revenue; a change against a zero base
-    is null, except new customers, where it is 0.
+    Each figure is a scalar subquery. The revenue figures all read one
+    aggregate of orders by (store, year) and the new-customer counts one
+    aggregate by customer (a struct of both years), so Spark scans and
+    shuffles orders once for each and reuses the exchanges. A year without
+    orders counts as 0 revenue; a change against a zero base is null, except
+    new customers, where it is 0.
     """
-    spark = t.spark
-    per_sy = (t.orders.where(in_years("orderdate", [y0, y1]))
-              .groupBy("storeid", F.year("orderdate").alias("year")).agg(F.sum("total").alias("rev")))
+    y0, y1 = int(y0), int(y1)
+    base = t.orders.groupBy("storeid", F.year("orderdate").alias("year")).agg(F.sum("total").alias("rev"))
+    zero = F.lit(0).cast("decimal(22,2)")
 
     def year_rev(y):
-        return F.coalesce(per_sy.where(F.col("year") == F.lit(int(y))).select(F.sum("rev")).scalar(),
-                          F.lit(0).cast("decimal(22,2)"))
-
+        return F.coalesce(base.where(F.col("year") == F.lit(y)).select(F.sum("rev")).scalar(), zero)
+
+    per_store = base.groupBy("storeid").agg(F.sum("rev").alias("store_revenue"))
+    avg_store = per_store.select(F.try_divide(F.sum("store_revenue").cast("double"),
+                                              F.count("store_revenue").cast("double"))).scalar()
+    first = first_order_years(t)
+    nc = first.select(F.struct(*[F.count(F.when(F.col("first_year") == F.lit(y), F.col("customerid"))).alias(f"y{y}")
+                                 for y in (y0, y1)])).scalar()
+    nc0, nc1 = nc.getField(f"y{y0}"), nc.getField(f"y{y1}")
     n = F.lit(int(n_stores)) if n_stores else store_count(t)
     rev0, rev1 = year_rev(y0), year_rev(y1)
     avg0, avg1 = (F.try_divide(r.cast("double"), n.cast("double")) for r in (rev0, rev1))
-    nc = kpi_new_customers(t, y0, y1)
-    nc0 = nc.select(f"new_customers_{int(y0)}").scalar()
-    nc1 = nc.select(f"new_customers_{int(y1)}").scalar()
-    row = spark.range(1).select(
+    return t.spark.range(1).select(
         t.customers.select(F.count(F.lit(1))).scalar().alias("total_customers"),
-        kpi_total_revenue(t).scalar().alias("total_revenue"),
-        kpi_avg_revenue_per_store(t).scalar().alias("average_revenue_per_store"),
-        kpi_median_store_revenue(t, y1, mode).scalar().alias(f"median_revenue_from_stores_{int(y1)}"),
-        nc0.alias(f"new_customers_{int(y0)}"),
-        nc1.alias(f"new_customers_{int(y1)}"),
-        rev1.alias(f"total_revenue_{int(y1)}"),
+        base.select(F.sum("rev")).scalar().alias("total_revenue"),
+        avg_store.alias("average_revenue_per_store"),
+        kpi_median_store_revenue(t, y1, mode).scalar().alias(f"median_revenue_from_stores_{y1}"),
+        nc0.alias(f"new_customers_{y0}"),
+        nc1.alias(f"new_customers_{y1}"),
+        rev1.alias(f"total_revenue_{y1}"),
         pct_change(rev0.cast("double"), rev1.cast("double")).alias("total_revenue_change"),
-        avg1.alias(f"avg_revenue_per_store_{int(y1)}"),
+        avg1.alias(f"avg_revenue_per_store_{y1}"),
         pct_change(avg0, avg1).alias("avg_revenue_per_store_change"),
         F.when(nc0 == 0, F.lit(0.0)).otherwise(pct_change(nc0.cast("double"), nc1.cast("double")))
         .alias("new_customers_change"))
-    return row
 
 
 def kpi_cards(t: ShopTables, y0: int = 2021, y1: int = 2022, n_stores: int | None = None,

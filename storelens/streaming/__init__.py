@@ -1,0 +1,5 @@
+"""Streaming: materialised reports refreshed as orders arrive (the reference's
+only freshness mechanism was a 300 s response cache; it has no stream
+processing of its own)."""
+
+from storelens.streaming.refresh import REFRESH_EVERY, refresh_reports  # noqa: F401
