@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from storelens.functions.dates import in_years, whole_days
 from storelens.operators.densify import densify
 from storelens.operators.quantiles import qcut_rank, qcut_value
-from storelens.operators.ranking import rank_method
+from storelens.operators.ranking import WINDOW_MAX_ROWS, rank_method
 from storelens.plans.common import known_stores, order_item_sums, order_value, store_filter
 from storelens.session import ensure_checkpoint_dir
 from storelens.sources.tables import ShopTables
@@ -39,7 +39,7 @@ def rfm_orders(t: ShopTables, year: int = 2022, mode: str = "reference") -> Data
 
 
 def rfm_scores(t: ShopTables, year: int = 2022, duplicates: str = "skip",
-               mode: str = "reference") -> DataFrame:
+               mode: str = "reference", window_max_rows: int = WINDOW_MAX_ROWS) -> DataFrame:
     """Q31: recency, frequency, monetary and their scores per store and customer.
 
     Per store, ``current`` is one day after the store's last order (orders of
@@ -71,7 +71,7 @@ def rfm_scores(t: ShopTables, year: int = 2022, duplicates: str = "skip",
         .drop("last_order", "current_date")
     ensure_checkpoint_dir(t.spark)
     cust = cust.checkpoint(eager=True)
-    how = rank_method(cust, ["storeid"])
+    how = rank_method(cust, ["storeid"], window_max_rows)
     s = qcut_value(cust, ["storeid"], "recency", "r_score", RFM_BINS, method="count",
                    duplicates=duplicates, groups_small=small)
     s = qcut_rank(s, ["storeid"], [F.asc("frequency"), F.asc("customerid")], "f_score", RFM_BINS,

@@ -49,12 +49,19 @@ def store_year_order_count(t: ShopTables) -> DataFrame:
 
 
 def store_scatter(t: ShopTables, mode: str = "reference") -> DataFrame:
-    """Q6: store-years with item revenue and order count (0 when missing), plus a short label."""
-    rev = store_year_revenue(t, mode)
-    cnt = store_year_order_count(t)
-    out = rev.join(cnt, ["storeid", "year"], "left")
-    return out.select("storeid", "year", "revenue",
-                      F.coalesce(F.col("order_count"), F.lit(0)).cast("long").alias("order_count"),
+    """Q6: store-years with item revenue and order count (0 when missing), plus a short label.
+
+    Q6a and Q6b in one pass: orders of known stores left-joined 1:1 to their
+    item sums give both the revenue (orders with items) and the count of all
+    orders; store-years without any order with items are dropped, as in Q6a.
+    """
+    orders = known_stores(t, t.orders.select("orderid", "storeid", "orderdate", "nitems"))
+    joined = orders.join(order_item_sums(t), "orderid", "left")
+    out = (joined.groupBy("storeid", F.year("orderdate").alias("year"))
+           .agg(F.sum(order_value(mode)).alias("revenue"), F.count("orderid").alias("order_count"),
+                F.count("price_sum").alias("_with_items"))
+           .where(F.col("_with_items") > 0))
+    return out.select("storeid", "year", "revenue", F.col("order_count").cast("long").alias("order_count"),
                       short_money(F.bround(F.col("revenue"), 1)).alias("revenue_label")) \
         .orderBy("storeid", "year")
 

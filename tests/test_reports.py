@@ -289,3 +289,15 @@ def test_misc_small_reports(spark):
     assert sorted(rows(stores.store_ids(t))) == [(1,), (2,), (3,)]
     assert rows(customers.kpi_total_customers(t)) == [(10,)]
     assert isinstance(D(1), Decimal)
+
+
+def test_rfm_sort_path_equals_window_path(spark):
+    from conftest import SF
+
+    from storelens.sources import tables_from_tpch
+    t = tables_from_tpch(spark, SF)
+    cols = ["storeid", "customerid", "recency", "frequency", "monetary", "r_score", "f_score", "m_score",
+            "rfm_score", "segment"]
+    window = sorted(rows(customers.rfm_scores(t, 2000), *cols))
+    sort = sorted(rows(customers.rfm_scores(t, 2000, window_max_rows=0), *cols))
+    assert window == sort and len(window) > 20
