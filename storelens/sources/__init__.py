@@ -1,5 +1,5 @@
 """Sources and sinks: the five tables in, materialised reports out."""
 
 from storelens.sources.sinks import read_report, write_report  # noqa: F401
-from storelens.sources.tables import SCHEMA, TABLES, ShopTables, read_jdbc, read_tables  # noqa: F401
+from storelens.sources.tables import SCHEMA, TABLES, ShopTables, read_jdbc, read_tables, write_tables  # noqa: F401
 from storelens.sources.tpch import event_orders, mapping_cte, tables_from_tpch  # noqa: F401

@@ -59,3 +59,13 @@ def test_dimensions_broadcast_and_columns_pruned(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in plan
     plan = _plan(spark, "store_annual_revenues")
     assert "lineitem" not in plan                         # nitems unused: line counts pruned
+
+
+def test_hour_bands_sum_to_hours(spark):
+    from pyspark.sql import functions as F
+    hours = entry.queries()["orders_per_hour"](spark, SF)
+    bands = entry.queries()["orders_per_hour_band"](spark, SF)
+    a = hours.groupBy("storeid", "order_year").agg(F.sum("total_orders_per_hour").alias("n"))
+    b = bands.groupBy("storeid", "order_year").agg(F.sum("total_orders").alias("n"), F.count("*").alias("k"))
+    assert b.where("k != 6").count() == 0
+    assert sorted(map(tuple, a.collect())) == sorted(tuple(r[:3]) for r in b.collect())

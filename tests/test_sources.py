@@ -10,7 +10,8 @@ from conftest import SF, make_tables
 from pyspark.sql import functions as F
 
 from storelens.plans import sales
-from storelens.sources import read_report, read_tables, tables_from_tpch, write_report
+from storelens.sources import read_report, read_tables, tables_from_tpch, write_report, write_tables
+from storelens.session import plan_text
 
 
 def test_tpch_mapping_types(spark):
@@ -46,3 +47,14 @@ def test_write_and_read_tables_and_report(spark):
     assert sorted(tuple(r) for r in back.select("storeid", "year", "annual_sales").collect()) == \
         sorted(tuple(r) for r in rep.select("storeid", "year", "annual_sales").collect())
     assert sorted(d for d in os.listdir(path) if d.startswith("year=")) == ["year=2021", "year=2022"]
+
+
+def test_write_tables_layout_and_reports_agree(spark):
+    root = tempfile.mkdtemp(prefix="storelens-layout-", dir=os.environ.get("TMPDIR", "/tmp"))
+    t = tables_from_tpch(spark, SF)
+    t2 = read_tables(spark, write_tables(t, f"{root}/shop", files_per_table=4))
+    a = sorted(tuple(r) for r in sales.top_stores(t, [1998, 1999, 2000]).collect())
+    b = sorted(tuple(r) for r in sales.top_stores(t2, [1998, 1999, 2000]).collect())
+    assert a == b
+    plan = plan_text(sales.yearly_store_sales(t2, [1998]))
+    assert "PushedFilters: [IsNotNull(orderdate), GreaterThanOrEqual(orderdate,1998-01-01" in plan
