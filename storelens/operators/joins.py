@@ -31,12 +31,13 @@ def broadcast_budget(df: DataFrame) -> int:
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
-    """Prove that ``df`` is at most ``max_bytes`` of data, reading a bounded prefix.
+    """Prove that ``df`` holds at most ``max_bytes`` of data.
 
-    Rows are counted up to a cap derived from the fixed-width part of the
-    schema, and string/binary bytes are summed over the same capped rows, so
-    the job stops early on a large table and the answer is an exact bound on
-    a small one (fixed widths + actual string lengths).
+    First an exact ``count()`` — for a projection of a Parquet table Spark
+    answers it from the file footers without reading column data, so a large
+    table is rejected cheaply. Only when the rows fit the budget at their
+    fixed width are the actual string/binary bytes summed, in one pass over
+    those (few) rows; the bound is fixed widths + actual string lengths.
     """
     budget = max_bytes or broadcast_budget(df)
     fixed, var_cols = 0, []
@@ -46,16 +47,15 @@ def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
             var_cols.append(f.name)
             width = 8  # offset/length word of a variable-width value
         fixed += width
-    max_rows = max(1, budget // max(fixed, 1))
-    probe = df.limit(max_rows + 1)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.coalesce(F.sum(F.octet_length(F.col(c).cast("string"))), F.lit(0)).alias(f"b{i}")
-             for i, c in enumerate(var_cols)]
-    row = probe.agg(*aggs).first()
-    n = row["n"]
-    if n > max_rows:
+    n = df.count()
+    if n * max(fixed, 1) > budget:
         return False
-    return n * fixed + sum(row[f"b{i}"] for i in range(len(var_cols))) <= budget
+    if not var_cols:
+        return True
+    total = F.lit(0)
+    for c in var_cols:
+        total = total + F.coalesce(F.sum(F.octet_length(F.col(c).cast("string"))), F.lit(0))
+    return n * fixed + df.agg(total.alias("b")).first()["b"] <= budget
 
 
 def join_dim(fact: DataFrame, dim: DataFrame, on: str | Sequence[str] | Column,

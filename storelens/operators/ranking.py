@@ -85,7 +85,9 @@ def group_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], *,
     spans = spans.select(*by, "_part", "_first",
                          F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
                          F.sum("_n").over(whole).alias(size))
-    small = groups_small and tagged.rdd.getNumPartitions() <= MAX_BROADCAST_SPANS
+    # The range sort has at most spark.sql.shuffle.partitions partitions.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = groups_small and parts <= MAX_BROADCAST_SPANS
     ranked = tagged.join(F.broadcast(spans) if small else spans, [*by, "_part"])
     return (ranked.withColumn(rank, F.col("_pos") - F.col("_first") + F.col("_before") + 1)
             .drop("_pos", "_part", "_first", "_before"))

@@ -44,11 +44,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder under the system temp directory; a cluster session without it is
     an error, since a machine-local folder would not survive executor loss.
     """
-    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server applies spark.checkpoint.dir itself
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder") from None
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()

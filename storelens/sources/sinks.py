@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_report(df: DataFrame, path: str, partition_by: Sequence[str] = (),
@@ -22,6 +23,11 @@ def write_report(df: DataFrame, path: str, partition_by: Sequence[str] = (),
     return path
 
 
+def json_rows(df: DataFrame) -> DataFrame:
+    """One JSON object per row (the dashboard's response records), column ``json``."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("json"))
+
+
 def read_report(spark, path: str, fmt: str = "parquet") -> DataFrame:
     """Read a report written by :func:`write_report`."""
     return spark.read.format(fmt).load(path)

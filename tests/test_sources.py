@@ -10,7 +10,7 @@ from conftest import SF, make_tables
 from pyspark.sql import functions as F
 
 from storelens.plans import sales
-from storelens.sources import read_report, read_tables, tables_from_tpch, write_report, write_tables
+from storelens.sources import json_rows, read_report, read_tables, tables_from_tpch, write_report, write_tables
 from storelens.session import plan_text
 
 
@@ -58,3 +58,10 @@ def test_write_tables_layout_and_reports_agree(spark):
     assert a == b
     plan = plan_text(sales.yearly_store_sales(t2, [1998]))
     assert "PushedFilters: [IsNotNull(orderdate), GreaterThanOrEqual(orderdate,1998-01-01" in plan
+
+
+def test_json_rows(spark):
+    import json
+    t = make_tables(spark, orders=[(1, 1, 1, "2021-01-01 00:00:00", 1, 10)])
+    recs = [json.loads(r["json"]) for r in json_rows(sales.top_stores(t, [2021])).collect()]
+    assert recs == [{"storeid": 1, "year": 2021, "annual_sales": 10.0, "rank": 1}]
