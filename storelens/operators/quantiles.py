@@ -28,11 +28,13 @@ def _fractions(n: int) -> list[float]:
 
 def quantile_edges(df: DataFrame, by: Sequence[str], x: str, n: int = 4, *,
                    method: str = "count", groups_small: bool = False,
-                   prefix: str = "_e") -> DataFrame:
+                   tie: Sequence[str] = (), prefix: str = "_e") -> DataFrame:
     """One row per group with ``n + 1`` edges ``{prefix}0 … {prefix}n``.
 
     Edge k is the k/n quantile of ``x`` in the group (edge 0 the minimum,
-    edge n the maximum); null ``x`` values are ignored.
+    edge n the maximum); null ``x`` values are ignored. ``tie``: columns that
+    make (x, tie) unique in a group, so the rank sort can split a value
+    shared by very many rows; without it a hash of the row is used.
     """
     vals = df.where(F.col(x).isNotNull())
     if method == "count":
@@ -41,7 +43,8 @@ def quantile_edges(df: DataFrame, by: Sequence[str], x: str, n: int = 4, *,
     if method not in ("window", "sort"):
         raise ValueError(f"method must be 'count', 'window' or 'sort', not {method!r}")
     # Order statistics by position: edge k sits at 0-based h = (N-1)k/n.
-    ranked = group_rank(vals, by, [F.col(x)], groups_small=groups_small, method=method,
+    tie_cols = [F.col(c) for c in tie] or [F.xxhash64(*[F.col(f"`{c}`") for c in vals.columns])]
+    ranked = group_rank(vals, by, [F.col(x), *tie_cols], groups_small=groups_small, method=method,
                         rank="_r", size="_N")
     pos = F.col("_r") - 1
     picks, aggs = [], []
@@ -69,7 +72,7 @@ def _bin_from_edges(x: Column, n: int, prefix: str) -> Column:
 
 def qcut_value(df: DataFrame, by: Sequence[str], x: str, out: str, n: int = 4, *,
                reverse: bool = False, method: str = "count", duplicates: str = "skip",
-               groups_small: bool = False) -> DataFrame:
+               groups_small: bool = False, tie: Sequence[str] = ()) -> DataFrame:
     """Quantile bin 1…n of ``x`` inside each group, added as column ``out``.
 
     Bins are closed on the right and the group minimum falls in bin 1.
@@ -80,7 +83,7 @@ def qcut_value(df: DataFrame, by: Sequence[str], x: str, out: str, n: int = 4, *
     if duplicates not in ("skip", "raise"):
         raise ValueError("duplicates must be 'skip' or 'raise'")
     prefix = f"_{out}_e"
-    edges = quantile_edges(df, by, x, n, method=method, groups_small=groups_small, prefix=prefix)
+    edges = quantile_edges(df, by, x, n, method=method, groups_small=groups_small, tie=tie, prefix=prefix)
     joined = df.join(F.broadcast(edges) if groups_small else edges, list(by), "left")
     b = _bin_from_edges(F.col(x).cast("double"), n, prefix)
     if duplicates == "raise":

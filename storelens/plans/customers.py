@@ -77,7 +77,7 @@ def rfm_scores(t: ShopTables, year: int = 2022, duplicates: str = "skip",
     s = qcut_rank(s, ["storeid"], [F.asc("frequency"), F.asc("customerid")], "f_score", RFM_BINS,
                   reverse=True, method=how, groups_small=small)
     s = qcut_value(s, ["storeid"], "monetary", "m_score", RFM_BINS, reverse=True, method=how,
-                   duplicates=duplicates, groups_small=small)
+                   duplicates=duplicates, groups_small=small, tie=["customerid"])
     s = s.withColumn("rfm_score", F.concat(*[F.col(c).cast("string") for c in ("r_score", "f_score", "m_score")]))
     s = qcut_rank(s, ["storeid"], [F.asc("rfm_score"), F.asc("customerid")], "segment", RFM_BINS,
                   method=how, groups_small=small)

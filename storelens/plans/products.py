@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.dates import in_years
@@ -47,12 +47,15 @@ def revenue_by_product(t: ShopTables, years: Sequence[int] = RANK_YEARS) -> Data
 def revenue_share_by_product(t: ShopTables, years: Sequence[int] = RANK_YEARS) -> DataFrame:
     """Q21: Q20 with each product's share of its year's revenue.
 
-    The window is over one year's product names (a handful of rows).
+    Year totals are an aggregate joined back by broadcast (at most
+    ``len(years)`` rows), so no task ever holds all products of a year.
     """
     r = revenue_by_product(t, years)
-    year_total = F.sum("total_revenue").over(Window.partitionBy("order_year"))
-    return r.withColumn("share", F.col("total_revenue").cast("double") / year_total.cast("double")) \
-        .orderBy("order_year", F.desc("total_revenue"), "name")
+    totals = r.groupBy("order_year").agg(F.sum("total_revenue").alias("_year_total"))
+    share = F.col("total_revenue").cast("double") / F.col("_year_total").cast("double")
+    return (r.join(F.broadcast(totals), "order_year")
+            .select("name", "order_year", "total_revenue", share.alias("share"))
+            .orderBy("order_year", F.desc("total_revenue"), "name"))
 
 
 def product_size_sales(t: ShopTables, mode: str = "reference") -> DataFrame:
