@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql.window import WindowSpec
 from pyspark.sql import functions as F
 
 from storelens.operators.ranking import group_rank
@@ -42,34 +43,79 @@ def quantile_edges(df: DataFrame, by: Sequence[str], x: str, n: int = 4, *,
         return q.select(*by, *[F.col("_q")[k].alias(f"{prefix}{k}") for k in range(n + 1)])
     if method not in ("window", "sort"):
         raise ValueError(f"method must be 'count', 'window' or 'sort', not {method!r}")
-    # Order statistics by position: edge k sits at 0-based h = (N-1)k/n.
     tie_cols = [F.col(c) for c in tie] or [F.xxhash64(*[F.col(f"`{c}`") for c in vals.columns])]
     ranked = group_rank(vals, by, [F.col(x), *tie_cols], groups_small=groups_small, method=method,
                         rank="_r", size="_N")
-    pos = F.col("_r") - 1
-    picks, aggs = [], []
+    return edges_from_ranks(ranked, by, x, "_r", "_N", n, prefix)
+
+
+def _edge_parts(x: str, rank: str, size: str, n: int):
+    """Per edge k: (row at floor(h), row at floor(h)+1, fraction) with h = (N-1)k/n."""
+    pos = F.col(rank) - 1
     for k in range(n + 1):
-        h = (F.col("_N") - 1) * F.lit(k) / F.lit(n)
+        h = (F.col(size) - 1) * F.lit(k) / F.lit(n)
         lo = F.floor(h)
-        picks += [pos == lo, pos == lo + 1]
-        a = F.max(F.when(pos == lo, F.col(x).cast("double")))
-        b = F.max(F.when(pos == lo + 1, F.col(x).cast("double")))
-        t = F.max(h - lo)
-        aggs.append(F.when(t == 0, a).otherwise(a + (b - a) * t).alias(f"{prefix}{k}"))
-    keep = picks[0]
-    for p in picks[1:]:
-        keep = keep | p
+        yield k, pos == lo, pos == lo + 1, h - lo
+
+
+def _interpolate(a: Column, b: Column, t: Column) -> Column:
+    return F.when(t == 0, a).otherwise(a + (b - a) * t)
+
+
+def edges_from_ranks(ranked: DataFrame, by: Sequence[str], x: str, rank: str, size: str, n: int = 4,
+                     prefix: str = "_e") -> DataFrame:
+    """Quantile edges per group from rows ranked 1…N by ``x`` (see :func:`quantile_edges`).
+
+    Only the rows at positions floor(h) and floor(h)+1 of each edge are kept
+    (at most 2(n+1) per group) and aggregated.
+    """
+    v = F.col(x).cast("double")
+    keep, aggs = F.lit(False), []
+    for k, at_lo, at_hi, t in _edge_parts(x, rank, size, n):
+        keep = keep | at_lo | at_hi
+        aggs.append(_interpolate(F.max(F.when(at_lo, v)), F.max(F.when(at_hi, v)), F.max(t)).alias(f"{prefix}{k}"))
     return ranked.where(keep).groupBy(*by).agg(*aggs)
 
 
-def _bin_from_edges(x: Column, n: int, prefix: str) -> Column:
-    """Smallest k with x <= edge_k (edge 0 belongs to bin 1)."""
+def edges_over_window(ranked: DataFrame, w: WindowSpec, x: str, rank: str, size: str, n: int = 4,
+                      prefix: str = "_e") -> DataFrame:
+    """The same edges as columns on every row, as aggregates over the whole
+    group window ``w`` (partition only): no extra shuffle or join when the
+    frame is already partitioned by the group."""
+    v = F.col(x).cast("double")
+    out = ranked
+    for k, at_lo, at_hi, t in _edge_parts(x, rank, size, n):
+        out = out.withColumn(f"{prefix}{k}", _interpolate(F.max(F.when(at_lo, v)).over(w),
+                                                          F.max(F.when(at_hi, v)).over(w), t))
+    return out
+
+
+def rank_bin(rank: str, size: str, n: int = 4) -> Column:
+    """Bin 1…n of rank r among N: max(1, ceil(n(r-1)/(N-1))), and 1 when N = 1.
+
+    ``ceil(a / b)`` for a >= 0, b > 0 is ``(a + b - 1) div b`` in exact integers.
+    """
+    ceil_bin = F.expr(f"({int(n)} * (`{rank}` - 1) + `{size}` - 2) div (`{size}` - 1)")
+    return F.when(F.col(size) <= 1, F.lit(1)).otherwise(F.greatest(F.lit(1), ceil_bin))
+
+
+def bin_of_edges(x: Column, n: int, prefix: str) -> Column:
+    """Bin 1…n of ``x`` against edge columns ``{prefix}1 … {prefix}n-1``:
+    the smallest k with x <= edge_k (the group minimum falls in bin 1)."""
     expr = F.when(x.isNull(), F.lit(None))
     for k in range(1, n):
         expr = expr.when(x <= F.col(f"{prefix}{k}"), F.lit(k))
     return expr.otherwise(F.lit(n))
 
 
+def unique_edges_or_fail(b: Column, n: int, prefix: str, what: str) -> Column:
+    """``b``, or a query failure where two edges ``{prefix}k`` of the row's group are equal."""
+    dup = F.lit(False)
+    for k in range(n):
+        dup = dup | (F.col(f"{prefix}{k}") == F.col(f"{prefix}{k + 1}"))
+    return F.when(dup, F.raise_error(F.lit(f"quantile edges of {what} are not unique"))).otherwise(b)
+
+
 def qcut_value(df: DataFrame, by: Sequence[str], x: str, out: str, n: int = 4, *,
                reverse: bool = False, method: str = "count", duplicates: str = "skip",
                groups_small: bool = False, tie: Sequence[str] = ()) -> DataFrame:
@@ -85,12 +131,9 @@ def qcut_value(df: DataFrame, by: Sequence[str], x: str, out: str, n: int = 4, *
     prefix = f"_{out}_e"
     edges = quantile_edges(df, by, x, n, method=method, groups_small=groups_small, tie=tie, prefix=prefix)
     joined = df.join(F.broadcast(edges) if groups_small else edges, list(by), "left")
-    b = _bin_from_edges(F.col(x).cast("double"), n, prefix)
+    b = bin_of_edges(F.col(x).cast("double"), n, prefix)
     if duplicates == "raise":
-        dup = F.lit(False)
-        for k in range(n):
-            dup = dup | (F.col(f"{prefix}{k}") == F.col(f"{prefix}{k + 1}"))
-        b = F.when(dup, F.raise_error(F.lit(f"quantile edges of {x} are not unique"))).otherwise(b)
+        b = unique_edges_or_fail(b, n, prefix, x)
     if reverse:
         b = F.lit(n + 1) - b
     return joined.withColumn(out, b.cast("int")).drop(*[f"{prefix}{k}" for k in range(n + 1)])
@@ -104,9 +147,7 @@ def qcut_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: st
     and 1 when N = 1. This is not ``ntile``, which fills the first bins first.
     """
     ranked = group_rank(df, by, order, groups_small=groups_small, method=method, rank="_r", size="_N")
-    # ceil(a / b) for a >= 0, b > 0 is (a + b - 1) div b, in exact integers.
-    ceil_bin = F.expr(f"({n} * (_r - 1) + _N - 2) div (_N - 1)")
-    b = F.when(F.col("_N") <= 1, F.lit(1)).otherwise(F.greatest(F.lit(1), ceil_bin))
+    b = rank_bin("_r", "_N", n)
     if reverse:
         b = F.lit(n + 1) - b
     return ranked.withColumn(out, b.cast("int")).drop("_r", "_N")

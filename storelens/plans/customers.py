@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelens.functions.dates import in_years, whole_days
 from storelens.operators.densify import densify
-from storelens.operators.quantiles import qcut_rank, qcut_value
+from storelens.operators.quantiles import (bin_of_edges, edges_over_window, qcut_rank, qcut_value, rank_bin,
+                                           unique_edges_or_fail)
 from storelens.operators.ranking import WINDOW_MAX_ROWS, rank_method
 from storelens.plans.common import known_stores, order_item_sums, order_value, store_filter
 from storelens.session import ensure_checkpoint_dir
@@ -74,17 +75,44 @@ def rfm_scores(t: ShopTables, year: int = 2022, duplicates: str = "skip",
     how = rank_method(cust, ["storeid"], window_max_rows)
     s = qcut_value(cust, ["storeid"], "recency", "r_score", RFM_BINS, method="count",
                    duplicates=duplicates, groups_small=small)
-    s = qcut_rank(s, ["storeid"], [F.asc("frequency"), F.asc("customerid")], "f_score", RFM_BINS,
-                  reverse=True, method=how, groups_small=small)
-    s = qcut_value(s, ["storeid"], "monetary", "m_score", RFM_BINS, reverse=True, method=how,
-                   duplicates=duplicates, groups_small=small, tie=["customerid"])
-    s = s.withColumn("rfm_score", F.concat(*[F.col(c).cast("string") for c in ("r_score", "f_score", "m_score")]))
-    s = qcut_rank(s, ["storeid"], [F.asc("rfm_score"), F.asc("customerid")], "segment", RFM_BINS,
-                  method=how, groups_small=small)
+    if how == "window":
+        s = _store_window_scores(s, duplicates)
+    else:
+        s = qcut_rank(s, ["storeid"], [F.asc("frequency"), F.asc("customerid")], "f_score", RFM_BINS,
+                      reverse=True, method=how, groups_small=small)
+        s = qcut_value(s, ["storeid"], "monetary", "m_score", RFM_BINS, reverse=True, method=how,
+                       duplicates=duplicates, groups_small=small, tie=["customerid"])
+        s = s.withColumn("rfm_score", _rfm_text())
+        s = qcut_rank(s, ["storeid"], [F.asc("rfm_score"), F.asc("customerid")], "segment", RFM_BINS,
+                      method=how, groups_small=small)
     return s.select("storeid", "customerid", "recency", "frequency", "monetary",
                     "r_score", "f_score", "m_score", "rfm_score", "segment")
 
 
+def _rfm_text():
+    return F.concat(*[F.col(c).cast("string") for c in ("r_score", "f_score", "m_score")])
+
+
+def _store_window_scores(s: DataFrame, duplicates: str) -> DataFrame:
+    """f_score, m_score, rfm_score and segment with windows per store (stores of
+    proven bounded size). All ranks and the monetary edges are window
+    functions over the same store partitioning: one shuffle, no join."""
+    w = Window.partitionBy("storeid")
+    ranked = (s.withColumn("_N", F.count(F.lit(1)).over(w))
+              .withColumn("_Nm", F.count("monetary").over(w))
+              .withColumn("_fr", F.row_number().over(w.orderBy("frequency", "customerid")))
+              .withColumn("_mr", F.row_number().over(w.orderBy(F.asc_nulls_last("monetary"), "customerid"))))
+    scored = edges_over_window(ranked, w, "monetary", "_mr", "_Nm", RFM_BINS, prefix="_m_e")
+    m_bin = bin_of_edges(F.col("monetary").cast("double"), RFM_BINS, "_m_e")
+    if duplicates == "raise":
+        m_bin = unique_edges_or_fail(m_bin, RFM_BINS, "_m_e", "monetary")
+    scored = (scored.withColumn("f_score", (F.lit(RFM_BINS + 1) - rank_bin("_fr", "_N", RFM_BINS)).cast("int"))
+              .withColumn("m_score", (F.lit(RFM_BINS + 1) - m_bin).cast("int")))
+    scored = scored.withColumn("rfm_score", _rfm_text())
+    scored = scored.withColumn("_sr", F.row_number().over(w.orderBy("rfm_score", "customerid")))
+    return scored.withColumn("segment", rank_bin("_sr", "_N", RFM_BINS).cast("int"))
+
+
 def rfm_segments(t: ShopTables, year: int = 2022, store=None, duplicates: str = "skip",
                  mode: str = "reference") -> DataFrame:
     """Q32: per store and segment 1…4: customers and mean recency, frequency, monetary.
