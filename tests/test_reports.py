@@ -84,15 +84,14 @@ def test_h5_new_customers_equals_anti_join_form(spark):
     got = rows(sales.kpi_new_customers(t, 2021, 2022), "new_customers_2021", "new_customers_2022")
     assert got == [(1, 1)]
     t.orders.createOrReplaceTempView("h5_orders")
+    # the anti-join form: customers first seen in a year, minus those seen earlier
     literal = spark.sql("""
-        WITH first_orders AS (SELECT customerid, MIN(orderdate) AS first_order_date FROM h5_orders GROUP BY customerid),
-        pre AS (SELECT customerid FROM first_orders WHERE year(first_order_date) < 2021),
-        c21 AS (SELECT customerid FROM first_orders WHERE year(first_order_date) = 2021),
-        c22 AS (SELECT customerid FROM first_orders WHERE year(first_order_date) = 2022)
-        SELECT (SELECT COUNT(DISTINCT c21.customerid) FROM c21 LEFT JOIN pre ON c21.customerid = pre.customerid
-                WHERE pre.customerid IS NULL) AS a,
-               (SELECT COUNT(DISTINCT c22.customerid) FROM c22 LEFT JOIN c21 ON c22.customerid = c21.customerid
-                WHERE c21.customerid IS NULL) AS b""")
+        WITH seen AS (SELECT customerid, MIN(orderdate) AS since FROM h5_orders GROUP BY customerid),
+        earlier AS (SELECT customerid FROM seen WHERE year(since) < 2021),
+        y21 AS (SELECT customerid FROM seen WHERE year(since) = 2021),
+        y22 AS (SELECT customerid FROM seen WHERE year(since) = 2022)
+        SELECT (SELECT COUNT(DISTINCT a.customerid) FROM y21 a LEFT ANTI JOIN earlier e ON a.customerid = e.customerid) AS a,
+               (SELECT COUNT(DISTINCT b.customerid) FROM y22 b LEFT ANTI JOIN y21 c ON b.customerid = c.customerid) AS b""")
     assert rows(literal, "a", "b") == got
 
 
