@@ -69,3 +69,15 @@ def test_hour_bands_sum_to_hours(spark):
     b = bands.groupBy("storeid", "order_year").agg(F.sum("total_orders").alias("n"), F.count("*").alias("k"))
     assert b.where("k != 6").count() == 0
     assert sorted(map(tuple, a.collect())) == sorted(tuple(r[:3]) for r in b.collect())
+
+
+def test_session_time_zone_does_not_matter(spark):
+    names = ["orders_per_hour", "orders_per_hour_band", "store_monthly_filled", "revenue_per_weekday",
+             "rfm_scores", "kpi_new_customers"]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        res = compare(spark, SF, names)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert all(v.get("ok") for v in res.values()), res
