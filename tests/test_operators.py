@@ -233,3 +233,15 @@ def test_in_years_reaches_parquet(spark):
     n = o.count()
     m = spark.read.parquet(f"{SF}/orders.parquet").where(F.year("o_orderdate").isin(1996, 1997, 1999)).count()
     assert n == m > 0
+
+
+def test_rank_bin_equals_pandas_for_every_size(spark):
+    from storelens.operators.quantiles import rank_bin
+    pairs = [(n, r) for n in range(1, 201) for r in range(1, n + 1)]
+    df = spark.createDataFrame(pairs, "n long, r long")
+    got = {(x["n"], x["r"]): x["b"] for x in df.select("n", "r", rank_bin("r", "n", 4).alias("b")).collect()}
+    for n in range(2, 201):
+        bins = pd.qcut(pd.Series(range(1, n + 1), dtype=float), 4, labels=[1, 2, 3, 4])
+        for r, b in zip(range(1, n + 1), bins):
+            assert got[(n, r)] == int(b), (n, r)
+    assert got[(1, 1)] == 1
