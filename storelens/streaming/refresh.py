@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from storelens.session import ensure_checkpoint_dir
 from storelens.sources.sinks import write_report
@@ -27,16 +28,18 @@ REFRESH_EVERY = "300 seconds"
 def refresh_reports(spark: SparkSession, orders_dir: str, tables: Callable[[DataFrame], ShopTables],
                     reports: dict[str, Callable[[ShopTables], DataFrame]], out_root: str,
                     checkpoint_location: str | None = None, every: str = REFRESH_EVERY,
-                    available_now: bool = False, orders_format: str = "parquet") -> StreamingQuery:
+                    available_now: bool = False, orders_format: str = "parquet",
+                    schema: StructType | None = None) -> StreamingQuery:
     """Start a streaming query that rewrites ``{out_root}/{name}`` for every report.
 
     ``tables(orders)`` builds the bundle from the current orders (the other
     four tables change rarely and are read as they are). ``every`` is the
     trigger interval; ``available_now=True`` processes the files present and
     stops (a catch-up run). The checkpoint location defaults to a folder
-    under the session's ``spark.checkpoint.dir``.
+    under the session's ``spark.checkpoint.dir``. ``schema`` is the orders
+    schema; without it the files already in ``orders_dir`` give it.
     """
-    schema = spark.read.format(orders_format).load(orders_dir).schema
+    schema = schema or spark.read.format(orders_format).load(orders_dir).schema
     stream = spark.readStream.format(orders_format).schema(schema).load(orders_dir)
     if checkpoint_location is None:
         base = ensure_checkpoint_dir(spark)
