@@ -65,3 +65,17 @@ def test_json_rows(spark):
     t = make_tables(spark, orders=[(1, 1, 1, "2021-01-01 00:00:00", 1, 10)])
     recs = [json.loads(r["json"]) for r in json_rows(sales.top_stores(t, [2021])).collect()]
     assert recs == [{"storeid": 1, "year": 2021, "annual_sales": 10.0, "rank": 1}]
+
+
+def test_cli_lists_and_runs_reports(spark, capsys):
+    from storelens import cli
+    assert {"top_stores", "rfm_segments", "store_monthly_filled", "kpi_cards"} <= set(cli.REPORTS)
+    assert cli.main(["list"]) == 0
+    assert "top_stores(years, k)" in capsys.readouterr().out
+    out = tempfile.mkdtemp(prefix="storelens-cli-", dir=os.environ.get("TMPDIR", "/tmp"))
+    assert cli.main(["run", "top_stores", "--tpch", SF, "--param", "years=1998,1999", "--param", "k=3",
+                     "--out", f"{out}/top", "--format", "json"], spark=spark) == 0
+    got = spark.read.json(f"{out}/top")
+    assert got.count() == 6 and set(got.columns) == {"storeid", "year", "annual_sales", "rank"}
+    with pytest.raises(SystemExit):
+        cli.main(["run", "top_stores", "--tpch", SF, "--param", "bogus=1"], spark=spark)
