@@ -20,11 +20,12 @@ import sys
 from storelens.plans import customers, products, sales, stores
 
 MODULES = (sales, stores, products, customers)
-# Reports by name: every public function of the report modules whose first
-# parameter is the table bundle.
+# Reports by name: every public function of the report modules that takes the
+# table bundle first and returns a DataFrame.
 REPORTS = {name: fn for m in MODULES for name, fn in vars(m).items()
            if inspect.isfunction(fn) and fn.__module__ == m.__name__ and not name.startswith("_")
-           and list(inspect.signature(fn).parameters)[:1] == ["t"]}
+           and list(inspect.signature(fn).parameters)[:1] == ["t"]
+           and inspect.signature(fn).return_annotation in ("DataFrame", "pyspark.sql.DataFrame")}
 
 
 def _value(text: str):
