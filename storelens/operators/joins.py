@@ -11,11 +11,12 @@ from pyspark.sql import types as T
 # Fallback budget when the session disables the automatic threshold.
 DEFAULT_BROADCAST_BYTES = 10 * 1024 * 1024
 
-_FIXED_WIDTH = {
-    T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.DateType: 4, T.FloatType: 4,
-    T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8, T.TimestampNTZType: 8,
-    T.BooleanType: 1, T.DecimalType: 16,
-}
+# Bytes per row of a broadcast hash relation beyond the field data: the
+# row's null bitset word and a hash-table entry (key + pointer).
+_ROW_OVERHEAD = 8 + 16
+# Variable-width types whose bytes are measured; every other field takes one
+# 8-byte slot of Spark's row format.
+_VARIABLE = (T.StringType, T.BinaryType)
 
 
 def broadcast_budget(df: DataFrame) -> int:
@@ -31,30 +32,29 @@ def broadcast_budget(df: DataFrame) -> int:
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
-    """Prove that ``df`` holds at most ``max_bytes`` of data.
+    """Prove that ``df`` as a broadcast hash relation stays within ``max_bytes``.
 
-    First an exact ``count()`` — for a projection of a Parquet table Spark
-    answers it from the file footers without reading column data, so a large
-    table is rejected cheaply. Only when the rows fit the budget at their
-    fixed width are the actual string/binary bytes summed, in one pass over
-    those (few) rows; the bound is fixed widths + actual string lengths.
+    Size model of Spark's row format: one 8-byte slot per field, the
+    variable-width bytes rounded up to 8, plus a null-bitset word and a
+    hash-table entry per row. First an exact ``count()`` — for a projection
+    of a Parquet table Spark answers it from the file footers without
+    reading column data, so a large table is rejected cheaply. Only when the
+    rows fit at their fixed size are the actual string/binary bytes summed,
+    in one pass over those (few) rows.
     """
     budget = max_bytes or broadcast_budget(df)
-    fixed, var_cols = 0, []
-    for f in df.schema.fields:
-        width = next((w for t, w in _FIXED_WIDTH.items() if isinstance(f.dataType, t)), None)
-        if width is None:
-            var_cols.append(f.name)
-            width = 8  # offset/length word of a variable-width value
-        fixed += width
+    fields = df.schema.fields
+    fixed = _ROW_OVERHEAD + 8 * len(fields)
+    var_cols = [f.name for f in fields if isinstance(f.dataType, _VARIABLE)]
     n = df.count()
-    if n * max(fixed, 1) > budget:
+    if n * fixed > budget:
         return False
     if not var_cols:
         return True
     total = F.lit(0)
     for c in var_cols:
-        total = total + F.coalesce(F.sum(F.octet_length(F.col(c).cast("string"))), F.lit(0))
+        padded = F.ceil(F.octet_length(F.col(f"`{c}`")) / 8) * 8
+        total = total + F.coalesce(F.sum(padded), F.lit(0))
     return n * fixed + df.agg(total.alias("b")).first()["b"] <= budget
 
 
