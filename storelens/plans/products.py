@@ -28,7 +28,7 @@ def category_orders(t: ShopTables, years: Sequence[int] = RANK_YEARS,
     orders = t.orders.where(in_years("orderdate", years)).select("orderid", F.year("orderdate").alias("order_year"))
     return (items.join(orders, "orderid")
             .groupBy("category", "order_year").agg(F.count(F.lit(1)).alias("total_orders"))
-            .orderBy("order_year", F.desc("total_orders"), "category"))
+            .orderBy("order_year", F.desc_nulls_first("total_orders"), "category"))
 
 
 def revenue_by_product(t: ShopTables, years: Sequence[int] = RANK_YEARS) -> DataFrame:
@@ -41,7 +41,7 @@ def revenue_by_product(t: ShopTables, years: Sequence[int] = RANK_YEARS) -> Data
     per_sku = t.orderitems.join(orders, "orderid").groupBy("sku", "order_year").agg(F.count(F.lit(1)).alias("n"))
     priced = join_dim(per_sku, t.products.select("sku", "name", "price"), "sku", small=t.is_small("products"))
     return (priced.groupBy("name", "order_year").agg(F.sum(F.col("n") * F.col("price")).alias("total_revenue"))
-            .orderBy("order_year", F.desc("total_revenue"), "name"))
+            .orderBy("order_year", F.desc_nulls_first("total_revenue"), "name"))
 
 
 def revenue_share_by_product(t: ShopTables, years: Sequence[int] = RANK_YEARS) -> DataFrame:
@@ -55,7 +55,7 @@ def revenue_share_by_product(t: ShopTables, years: Sequence[int] = RANK_YEARS) -
     share = F.col("total_revenue").cast("double") / F.col("_year_total").cast("double")
     return (r.join(F.broadcast(totals), "order_year")
             .select("name", "order_year", "total_revenue", share.alias("share"))
-            .orderBy("order_year", F.desc("total_revenue"), "name"))
+            .orderBy("order_year", F.desc_nulls_first("total_revenue"), "name"))
 
 
 def product_size_sales(t: ShopTables, mode: str = "reference") -> DataFrame:

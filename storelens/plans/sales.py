@@ -28,7 +28,8 @@ def yearly_store_sales(t: ShopTables, years: Sequence[int] = RANK_YEARS) -> Data
 
 
 def _ranked_stores(t, years, k, best):
-    sales = F.desc("annual_sales") if best else F.asc("annual_sales")
+    # PostgreSQL order: nulls first when descending, last when ascending (H12)
+    sales = F.desc_nulls_first("annual_sales") if best else F.asc_nulls_last("annual_sales")
     ranked = top_k(yearly_store_sales(t, years), ["year"], [sales, F.asc_nulls_last("storeid")], k)
     return ranked.orderBy("year", sales, F.asc_nulls_last("storeid"))
 
@@ -221,13 +222,14 @@ def sales_map(t: ShopTables, year: int = 2022) -> DataFrame:
     rev = store_annual_revenues(t, [year])
     return rev.select("storeid", "latitude", "longitude", "city",
                       F.col(f"revenue_{int(year)}").alias("revenue")) \
-        .orderBy(F.desc("revenue"), "storeid")
+        .orderBy(F.desc_nulls_first("revenue"), "storeid")
 
 
 def stores_table(t: ShopTables, year: int = 2022, best: bool = True, k: int = 5) -> DataFrame:
     """Q36: the best (or worst) ``k`` stores of ``year`` as a table with money text."""
     ranked = top_stores(t, [year], k) if best else worst_stores(t, [year], k)
-    order = F.desc("revenue") if best else F.asc("revenue")
+    # rows come ranked as in Q1/Q2; the table itself lists a missing revenue last
+    order = F.desc_nulls_last("revenue") if best else F.asc_nulls_last("revenue")
     return ranked.select(F.col("storeid").alias("store"), F.col("annual_sales").alias("revenue"),
                          money_text("annual_sales").alias("revenue_label")) \
         .orderBy(order, "store").limit(k)

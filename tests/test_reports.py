@@ -300,3 +300,11 @@ def test_rfm_sort_path_equals_window_path(spark):
     window = sorted(rows(customers.rfm_scores(t, 2000), *cols))
     sort = sorted(rows(customers.rfm_scores(t, 2000, window_max_rows=0), *cols))
     assert window == sort and len(window) > 20
+
+
+def test_h12_null_sales_rank_first_when_descending(spark):
+    orders = [(1, 1, 1, "2021-01-01 00:00:00", 1, 10), (2, 2, 2, "2021-01-01 00:00:00", 1, 20)]
+    t = make_tables(spark, orders=orders)
+    t = t.with_orders(t.orders.withColumn("total", F.when(F.col("storeid") == 1, None).otherwise(F.col("total"))))
+    assert rows(sales.top_stores(t, [2021], k=1), "storeid") == [(1,)]     # NULL first, as PostgreSQL sorts
+    assert rows(sales.worst_stores(t, [2021], k=1), "storeid") == [(2,)]   # NULL last ascending
