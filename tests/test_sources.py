@@ -79,3 +79,34 @@ def test_cli_lists_and_runs_reports(spark, capsys):
     assert got.count() == 6 and set(got.columns) == {"storeid", "year", "annual_sales", "rank"}
     with pytest.raises(SystemExit):
         cli.main(["run", "top_stores", "--tpch", SF, "--param", "bogus=1"], spark=spark)
+
+
+def test_bucketed_layout_joins_orders_and_items_without_shuffle(spark):
+    import uuid
+
+    from storelens.plans import customers
+    from storelens.sources import read_catalog_tables, write_bucketed_tables
+    root = tempfile.mkdtemp(prefix="storelens-bucket-", dir=os.environ.get("TMPDIR", "/tmp"))
+    db = f"shop_{uuid.uuid4().hex[:8]}"
+    t = tables_from_tpch(spark, SF)
+    tb = read_catalog_tables(spark, write_bucketed_tables(t, db, f"{root}/shop", 4))
+    assert sorted(map(tuple, customers.rfm_orders(tb, 2000).collect())) == \
+        sorted(map(tuple, customers.rfm_orders(t, 2000).collect()))
+    # as if the tables were too large to broadcast: a sort-merge join with no exchange
+    saved = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold",
+                                                   "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in saved:
+            spark.conf.set(k, "-1")
+        tb._small.update({"stores": True, "products": True})
+        df = customers.rfm_orders(tb, 2000)
+        df.collect()
+        tree = plan_text(df).split("\n\n")[0].split("== Initial Plan ==")[0]
+        assert "SortMergeJoin" in tree
+        assert tree.count("Exchange") == tree.count("BroadcastExchange")
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
