@@ -14,8 +14,9 @@ Layout
 ``operators``  reusable DataFrame operators: size-checked dimension joins,
                distributed in-group ranks, quantile bins, box-plot
                statistics, top-k, densify, percent change.
-``plans``      the report queries.
+``plans``      the report queries, their registry and oracle SQL.
 ``streaming``  periodic refresh of materialised reports.
+``cli``        run a report by name; ``check`` compares reports with the oracle.
 """
 
 from storelens.sources.tables import ShopTables, read_tables  # noqa: F401
