@@ -245,3 +245,22 @@ def test_rank_bin_equals_pandas_for_every_size(spark):
         for r, b in zip(range(1, n + 1), bins):
             assert got[(n, r)] == int(b), (n, r)
     assert got[(1, 1)] == 1
+
+
+def test_in_years_equals_year_membership_for_any_set(spark):
+    from datetime import datetime
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    stamps = [datetime(y, m, d, h) for y in range(1994, 2003) for (m, d, h) in ((1, 1, 0), (6, 15, 12), (12, 31, 23))]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(stamps)], "i int, ts timestamp_ntz").cache()
+
+    @settings(max_examples=25, deadline=None)
+    @given(st.sets(st.integers(min_value=1993, max_value=2004), max_size=6))
+    def check(years):
+        got = {r["i"] for r in df.where(in_years("ts", years)).collect()}
+        want = {i for i, s in enumerate(stamps) if s.year in years}
+        assert got == want
+
+    check()
