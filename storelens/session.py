@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # checkpointed intermediates (RFM) are deleted once no DataFrame uses them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
