@@ -110,3 +110,24 @@ def test_bucketed_layout_joins_orders_and_items_without_shuffle(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_materialized_registry_matches_lazy(spark):
+    from pyspark.sql import SparkSession
+
+    from storelens.plans import catalog
+    root = tempfile.mkdtemp(prefix="storelens-mat-", dir=os.environ.get("TMPDIR", "/tmp"))
+    names = ["top_stores", "store_scatter", "orders_per_hour_band", "rfm_segments"]
+    lazy = {n: sorted(map(tuple, catalog.run(n, spark, SF).collect())) for n in names}
+    other = SparkSession.builder.getOrCreate()  # same session object
+    key = (id(other), SF)
+    before = catalog._TABLES.get(key)
+    try:
+        catalog.materialize(other, SF, f"{root}/tables")
+        for n in names:
+            assert sorted(map(tuple, catalog.run(n, other, SF).collect())) == lazy[n], n
+    finally:
+        if before is not None:
+            catalog._TABLES[key] = before
+        else:
+            catalog._TABLES.pop(key, None)
