@@ -61,16 +61,19 @@ def map_text(df: DataFrame, schema: str, fn: Callable[[pa.Array], list], keep: l
     fields = [df.schema[c] for c in keep]
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [schema])
 
+    cols_in = keep if text_col in keep else [*keep, text_col]
+    at = cols_in.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = fn(b.column(len(keep)))
+            cols = fn(b.column(at))
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i in range(len(keep))] + [c if isinstance(c, pa.Array) else pa.array(c) for c in cols],
                 [*keep, *names])
 
-    return df.select(*keep, text_col).mapInArrow(run, out)
+    return df.select(*cols_in).mapInArrow(run, out)
 
 
 def sigmoid(x):

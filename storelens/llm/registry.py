@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from storelens.llm.langid import op5_language
+from storelens.llm.quality import op1_compression_quality
 from storelens.llm.spm_codec import op4_sentencepiece
+from storelens.llm.toxicity import op2_weak_toxicity
 
 QUERIES = {
+    "op1_compression_quality": op1_compression_quality,
+    "op2_weak_toxicity": op2_weak_toxicity,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_language": op5_language,
 }
 
 #: query name -> DuckDB SQL, where SQL can express it
