@@ -3,8 +3,8 @@
 Every five-word shingle is hashed once; the top bits choose one of ``BINS``
 bins and each bin keeps its smallest hash. An empty bin copies the first
 non-empty bin of its own fixed pseudo-random probe sequence (optimal
-densification: all empty bins draw independently). The low ``BITS`` bits of each
-bin are stored, one hex digit per bin. The share of equal digits, corrected for
+densification: all empty bins draw independently). ``BITS`` low-order bits of
+each bin's hash are stored, one hex digit per bin. The share of equal digits, corrected for
 chance agreement, estimates the Jaccard similarity of the shingle sets.
 
 Words are `[^\\x20\\x09-\\x0D]+` of the lower-cased text; fewer than five words
@@ -73,7 +73,9 @@ def _densified(least: Column) -> Column:
         def one(i: Column) -> Column:
             probes = [F.get(b, ((i * m + c) % _PRIME % BINS).cast("int")) for m, c in PROBES]
             rest = F.array_min(F.transform(least, lambda x: F.struct(F.xxhash64(i, _bin(x)).alias("p"), x.alias("x"))))["x"]
-            return (F.coalesce(F.get(b, i), *probes, rest).bitwiseAND(F.lit((1 << BITS) - 1))).cast("tinyint")
+            # ten low digits in turn, so that copies of one hash in many bins agree by chance independently
+            x = F.call_function("shiftrightunsigned", F.coalesce(F.get(b, i), *probes, rest), i % 10 * BITS)
+            return x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("tinyint")
         return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), one)
 
     return F.when(F.size(least) > 0, _let(spread(least), fill)).otherwise(F.array().cast("array<tinyint>"))

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from storelens.llm.fingerprint import op7_oph_fingerprint
 from storelens.llm.langid import op5_language
+from storelens.llm.mixing import op3_entropy_mix
 from storelens.llm.quality import op1_compression_quality
+from storelens.llm.secrets import op6_secret_links
 from storelens.llm.spm_codec import op4_sentencepiece
 from storelens.llm.toxicity import op2_weak_toxicity
 
 QUERIES = {
     "op1_compression_quality": op1_compression_quality,
     "op2_weak_toxicity": op2_weak_toxicity,
+    "op3_entropy_mix": op3_entropy_mix,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_language": op5_language,
+    "op6_secret_links": op6_secret_links,
+    "op7_oph_fingerprint": op7_oph_fingerprint,
 }
 
 #: query name -> DuckDB SQL, where SQL can express it
