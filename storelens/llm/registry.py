@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from storelens.llm.embedding_join import op9_grid_order_join
 from storelens.llm.fingerprint import op7_oph_fingerprint
 from storelens.llm.langid import op5_language
+from storelens.llm.lm_score import op10_bloom_lm
 from storelens.llm.mixing import op3_entropy_mix
 from storelens.llm.quality import op1_compression_quality
 from storelens.llm.secrets import op6_secret_links
@@ -18,6 +20,8 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_secret_links": op6_secret_links,
     "op7_oph_fingerprint": op7_oph_fingerprint,
+    "op9_grid_order_join": op9_grid_order_join,
+    "op10_bloom_lm": op10_bloom_lm,
 }
 
 #: query name -> DuckDB SQL, where SQL can express it

@@ -90,3 +90,17 @@ def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
     if not len(w):
         return w
     return np.unique(chain(w, n) if len(w) >= n else mix(chain(w, len(w)) + U(len(w))))
+
+
+def text_groups(texts, limit: int = 1 << 22):
+    """Consecutive texts of an Arrow array as (first row, list of str or None), about ``limit`` characters each."""
+    first, held, size = 0, [], 0
+    for k, t in enumerate(texts):
+        t = t.as_py()
+        held.append(t)
+        size += len(t) if t else 0
+        if size >= limit:
+            yield first, held
+            first, held, size = k + 1, [], 0
+    if held:
+        yield first, held
