@@ -8,11 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from storelens.llm.common import table
+from storelens.llm.mixing import mixing_stage
+from storelens.llm.ngram_join import dedup_stage
+from storelens.llm.secrets import secrets_stage
 from storelens.llm.spm_codec import spm_stage
+from storelens.llm.toxicity import toxicity_stage
 from storelens.session import ensure_checkpoint_dir
 
 #: (name, function(spark, docs, sf_dir)); all but the last return the columns of documents
 STAGES = [
+    ("toxicity", toxicity_stage),
+    ("ngram_join", dedup_stage),
+    ("secrets", secrets_stage),
+    ("mixing", mixing_stage),
     ("sentencepiece", spm_stage),
 ]
 

@@ -7,6 +7,7 @@ from storelens.llm.fingerprint import op7_oph_fingerprint
 from storelens.llm.langid import op5_language
 from storelens.llm.lm_score import op10_bloom_lm
 from storelens.llm.mixing import op3_entropy_mix
+from storelens.llm.ngram_join import op8_ngram_jaccard
 from storelens.llm.quality import op1_compression_quality
 from storelens.llm.secrets import op6_secret_links
 from storelens.llm.spm_codec import op4_sentencepiece
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_secret_links": op6_secret_links,
     "op7_oph_fingerprint": op7_oph_fingerprint,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_grid_order_join": op9_grid_order_join,
     "op10_bloom_lm": op10_bloom_lm,
 }
