@@ -104,7 +104,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def _below(bounds: list[int], value: Column, equal: bool) -> Column:
     """How many of the sorted bounds are less than (or equal to) a value, by binary search."""
-    arr = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<bigint>")
+    arr = F.expr(f"cast(split('{','.join(map(str, bounds))}', ',') as array<bigint>)") if bounds else F.array().cast("array<bigint>")
     steps = [1 << k for k in range(len(bounds).bit_length(), -1, -1)]
     fits = (lambda x: x <= value) if equal else (lambda x: x < value)
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(
@@ -119,11 +119,10 @@ def with_next(docs: DataFrame, carry: list[str], id_col: str = "doc_id", tie: st
     the first row of the range after it, so that no row needs a second exchange.
     Null ids come last.
     """
-    spark = docs.sparkSession
-    n = max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
-    cuts = docs.select(key.alias("k")).agg(
-        F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 50 * n).alias("q")).first().q or []
+    shares = ",".join(str(i / n) for i in range(1, n)) or "0.5"
+    cuts = docs.select(key.alias("k")).agg(F.expr(f"percentile_approx(k, array({shares}), {50 * n})").alias("q")).first().q or []
     if n == 1:
         cuts = []
     lo, hi = _below(cuts, F.col("_key"), False), _below(cuts, F.col("_key"), True)
@@ -131,13 +130,10 @@ def with_next(docs: DataFrame, carry: list[str], id_col: str = "doc_id", tie: st
     rows = docs.withColumn("_key", key).withColumn("_range", lo + F.least(F.greatest(spread, F.lit(0)), hi - lo))
     rank = F.struct(F.col(id_col).isNotNull().alias("a"), F.col("_key").alias("b"),
                     F.shiftrightunsigned(tie, 1).alias("c"), F.col(tie).alias("d"))
-    heads = sorted((r._range, r.head) for r in rows.select("_range", rank.alias("r")).groupBy("_range")
-                   .agg(F.max("r").alias("head")).collect())  # one row per range
-    if not heads:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in carry])
-    # a range's first row also goes to the range above it, the topmost one to the lowest range
-    goes = [(h.b, h.d, heads[(i + 1) % len(heads)][0]) for i, (_, h) in enumerate(heads)]
-    extra = F.broadcast(spark.createDataFrame(goes, "_hk bigint, _hd bigint, _to int"))
+    # a range's first row also goes to the range above it, the topmost one to the lowest range; one row per range
+    heads = rows.select("_range", rank.alias("r")).groupBy("_range").agg(F.max("r").alias("r"))
+    above = F.coalesce(F.lead("_range").over(Window.orderBy("_range")), F.min("_range").over(Window.partitionBy()))
+    extra = F.broadcast(heads.select(F.col("r.b").alias("_hk"), F.col("r.d").alias("_hd"), above.alias("_to")))
     dealt = (rows.join(extra, (F.col("_key") == F.col("_hk")) & (F.col(tie) == F.col("_hd")), "left")
              .withColumn("_copy", F.explode(F.when(F.col("_to").isNull(), F.array(F.lit(False)))
                                             .otherwise(F.array(F.lit(False), F.lit(True)))))

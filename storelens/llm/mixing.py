@@ -104,7 +104,7 @@ def solve_rates(cells: DataFrame, goal: DataFrame) -> DataFrame:
             s.withColumn("a", F.when(F.col("error") <= TOLERANCE, F.col("a"))
                          .when((F.col("step") > F.col("lo")) & (F.col("step") < F.col("hi")), F.col("step"))
                          .otherwise((F.col("lo") + F.col("hi")) / 2)).select(*goal.columns))
-        if goal.agg(F.max("error")).first()[0] <= TOLERANCE:
+        if (goal.agg(F.max("error")).first()[0] or 0.0) <= TOLERANCE:
             break
     return goal
 
