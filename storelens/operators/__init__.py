@@ -3,6 +3,6 @@
 from storelens.operators.densify import densify, pct_change  # noqa: F401
 from storelens.operators.joins import fits_broadcast, join_dim  # noqa: F401
 from storelens.operators.quantiles import (  # noqa: F401
-    bin_of_edges, boxplot_stats, edges_from_ranks, edges_over_window, lower_median, qcut_rank, qcut_value,
+    bin_of_edges, boxplot_stats, edges_from_ranks, lower_median, qcut_rank, qcut_value,
     quantile_edges, rank_bin)
-from storelens.operators.ranking import group_rank, largest_group, rank_method, top_k  # noqa: F401
+from storelens.operators.ranking import class_rank, group_rank, range_tagged, top_k  # noqa: F401

@@ -17,12 +17,19 @@ def densify(df: DataFrame, by: Sequence[str], key: str, domain: Column,
     the interior of a range, or a constant ``F.sequence(...)`` for a fixed
     list of categories. Groups absent from ``df`` produce no rows. Columns of
     ``fill`` are coalesced to their value; other columns stay null in the gaps.
+
+    ``df`` has one row per group and key, and few keys per group (those of the
+    domain): each group becomes a map from key to values that the exploded
+    domain looks up, so ``df`` is read once and not joined with itself.
     """
-    frame = (df.groupBy(*by).agg(domain.alias("_domain"))
-             .select(*by, F.explode("_domain").alias(key)))
-    out = frame.join(df, [*by, key], "left")
-    return out.select(*[F.coalesce(F.col(c), F.lit(fill[c])).alias(c) if c in fill else F.col(c)
-                        for c in out.columns])
+    values = [c for c in df.columns if c not in (*by, key)]
+    entry = F.struct(F.col(key).alias("key"), F.struct(*values).alias("value"))
+    grouped = df.where(F.col(key).isNotNull()).groupBy(*by).agg(
+        domain.alias("_domain"), F.map_from_entries(F.collect_list(entry)).alias("_values"))
+    out = grouped.select(*by, F.explode("_domain").alias(key), "_values").withColumn(
+        "_v", F.try_element_at("_values", F.col(key)))
+    return out.select(*by, key, *[F.coalesce(F.col(f"_v.{c}"), F.lit(fill[c])).alias(c) if c in fill
+                                  else F.col(f"_v.{c}").alias(c) for c in values])
 
 
 def pct_change(base: Column, new: Column) -> Column:

@@ -6,10 +6,8 @@ rule of ``numpy.quantile`` / ``pandas.qcut``). Two ways to get them:
 * ``method="count"`` — Spark's ``percentile`` aggregate. Its buffer is a
   value→count map per group, so memory grows with the number of *distinct*
   values in a group: right for small domains (day counts, item counts).
-* ``method="window"`` / ``"sort"`` — order statistics from
-  :func:`group_rank`: right for continuous values (money). ``"window"``
-  sorts each group in one task (groups of proven bounded size), ``"sort"``
-  spreads every group over many partitions (groups of any size).
+* ``method="sort"`` — order statistics from :func:`group_rank`: right for
+  continuous values (money); every group spreads over many partitions.
 """
 
 from __future__ import annotations
@@ -18,7 +16,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from storelens.operators.ranking import group_rank
 
@@ -28,8 +25,7 @@ def _fractions(n: int) -> list[float]:
 
 
 def quantile_edges(df: DataFrame, by: Sequence[str], x: str, n: int = 4, *,
-                   method: str = "count", groups_small: bool = False,
-                   tie: Sequence[str] = (), prefix: str = "_e") -> DataFrame:
+                   method: str = "count", tie: Sequence[str] = (), prefix: str = "_e") -> DataFrame:
     """One row per group with ``n + 1`` edges ``{prefix}0 … {prefix}n``.
 
     Edge k is the k/n quantile of ``x`` in the group (edge 0 the minimum,
@@ -41,11 +37,10 @@ def quantile_edges(df: DataFrame, by: Sequence[str], x: str, n: int = 4, *,
     if method == "count":
         q = vals.groupBy(*by).agg(F.percentile(F.col(x).cast("double"), _fractions(n)).alias("_q"))
         return q.select(*by, *[F.col("_q")[k].alias(f"{prefix}{k}") for k in range(n + 1)])
-    if method not in ("window", "sort"):
-        raise ValueError(f"method must be 'count', 'window' or 'sort', not {method!r}")
+    if method != "sort":
+        raise ValueError(f"method must be 'count' or 'sort', not {method!r}")
     tie_cols = [F.col(c) for c in tie] or [F.xxhash64(*[F.col(f"`{c}`") for c in vals.columns])]
-    ranked = group_rank(vals, by, [F.col(x), *tie_cols], groups_small=groups_small, method=method,
-                        rank="_r", size="_N")
+    ranked = group_rank(vals, by, [F.col(x), *tie_cols], rank="_r", size="_N")
     return edges_from_ranks(ranked, by, x, "_r", "_N", n, prefix)
 
 
@@ -77,19 +72,6 @@ def edges_from_ranks(ranked: DataFrame, by: Sequence[str], x: str, rank: str, si
     return ranked.where(keep).groupBy(*by).agg(*aggs)
 
 
-def edges_over_window(ranked: DataFrame, w: WindowSpec, x: str, rank: str, size: str, n: int = 4,
-                      prefix: str = "_e") -> DataFrame:
-    """The same edges as columns on every row, as aggregates over the whole
-    group window ``w`` (partition only): no extra shuffle or join when the
-    frame is already partitioned by the group."""
-    v = F.col(x).cast("double")
-    out = ranked
-    for k, at_lo, at_hi, t in _edge_parts(x, rank, size, n):
-        out = out.withColumn(f"{prefix}{k}", _interpolate(F.max(F.when(at_lo, v)).over(w),
-                                                          F.max(F.when(at_hi, v)).over(w), t))
-    return out
-
-
 def rank_bin(rank: str, size: str, n: int = 4) -> Column:
     """Bin 1…n of rank r among N: max(1, ceil(n(r-1)/(N-1))), and 1 when N = 1.
 
@@ -118,7 +100,7 @@ def unique_edges_or_fail(b: Column, n: int, prefix: str, what: str) -> Column:
 
 def qcut_value(df: DataFrame, by: Sequence[str], x: str, out: str, n: int = 4, *,
                reverse: bool = False, method: str = "count", duplicates: str = "skip",
-               groups_small: bool = False, tie: Sequence[str] = ()) -> DataFrame:
+               tie: Sequence[str] = ()) -> DataFrame:
     """Quantile bin 1…n of ``x`` inside each group, added as column ``out``.
 
     Bins are closed on the right and the group minimum falls in bin 1.
@@ -129,8 +111,8 @@ def qcut_value(df: DataFrame, by: Sequence[str], x: str, out: str, n: int = 4, *
     if duplicates not in ("skip", "raise"):
         raise ValueError("duplicates must be 'skip' or 'raise'")
     prefix = f"_{out}_e"
-    edges = quantile_edges(df, by, x, n, method=method, groups_small=groups_small, tie=tie, prefix=prefix)
-    joined = df.join(F.broadcast(edges) if groups_small else edges, list(by), "left")
+    edges = quantile_edges(df, by, x, n, method=method, tie=tie, prefix=prefix)
+    joined = df.join(edges, list(by), "left")  # one row per group: broadcast where its measured size allows
     b = bin_of_edges(F.col(x).cast("double"), n, prefix)
     if duplicates == "raise":
         b = unique_edges_or_fail(b, n, prefix, x)
@@ -140,13 +122,13 @@ def qcut_value(df: DataFrame, by: Sequence[str], x: str, out: str, n: int = 4, *
 
 
 def qcut_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str, n: int = 4, *,
-              reverse: bool = False, method: str = "sort", groups_small: bool = False) -> DataFrame:
+              reverse: bool = False) -> DataFrame:
     """Quantile bin of each row's rank ``r`` (1…N, ties broken by ``order``).
 
     Equals ``qcut(rank(method='first'), n)``: bin = max(1, ceil(n(r-1)/(N-1))),
     and 1 when N = 1. This is not ``ntile``, which fills the first bins first.
     """
-    ranked = group_rank(df, by, order, groups_small=groups_small, method=method, rank="_r", size="_N")
+    ranked = group_rank(df, by, order, rank="_r", size="_N")
     b = rank_bin("_r", "_N", n)
     if reverse:
         b = F.lit(n + 1) - b
@@ -154,7 +136,11 @@ def qcut_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: st
 
 
 def lower_median(df: DataFrame, by: Sequence[str], x: str, out: str = "median") -> DataFrame:
-    """Element ``(N + 1) div 2`` of the sorted values per group (the lower median)."""
+    """Element ``(N + 1) div 2`` of the sorted values per group (the lower median).
+
+    One task holds a group's distinct values: for groups of bounded size, such
+    as one value per store.
+    """
     med = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{x}`)")
     return df.groupBy(*by).agg(med.alias(out))
 

@@ -11,10 +11,6 @@ from storelens.session import ensure_checkpoint_dir
 
 # monotonically_increasing_id() keeps the partition index above this bit.
 _PARTITION_SHIFT = 33
-# A span table (group, partition) is broadcast only up to this many partitions.
-MAX_BROADCAST_SPANS = 200_000
-# Largest group one window task may sort; bigger groups take the sort path.
-WINDOW_MAX_ROWS = 5_000_000
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
@@ -29,49 +25,47 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Row count of the largest ``by`` group (0 for an empty frame)."""
-    row = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m")).first()
-    return row["m"] or 0
+def range_tagged(df: DataFrame, order: Sequence[Column], part: str = "_part") -> DataFrame:
+    """``df`` range-partitioned by ``order`` and checkpointed, with the partition's
+    number in ``part``: numbers ascend with the order, and a group of any size
+    spreads over many partitions. Made once, it serves every
+    :func:`class_rank` whose ties ``order`` breaks.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()).checkpoint(eager=True)
 
 
-def rank_method(df: DataFrame, by: Sequence[str], max_rows: int = WINDOW_MAX_ROWS) -> str:
-    """``'window'`` when every group provably fits one task, else ``'sort'``.
+def class_rank(df: DataFrame, by: Sequence[str], value: str, tie: str, part: str = "_part",
+               rank: str = "rank", size: str = "group_size") -> DataFrame:
+    """Add each row's 1-based position in its ``by`` group, ordered by (value, tie), and the group size.
 
-    Runs one aggregate over ``df``; checkpoint ``df`` first when it is
-    expensive to compute, so the check and the ranks read the same data.
+    For a ``value`` of few distinct values and rows tagged by
+    :func:`range_tagged` in the order of (by, tie). The rows of a group before
+    a (value, partition) come from a small table of counts; only the rows of
+    one group, value and partition are sorted together. Keys must not be null.
     """
-    return "window" if largest_group(df, by) <= max_rows else "sort"
+    keys = [*by, value, part]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy(value, part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                           F.sum("_n").over(Window.partitionBy(*by)).alias(size))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(tie))
+    return df.join(counts, keys).withColumn(rank, F.col("_before") + inside).drop("_before")
 
 
-def group_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], *,
-               groups_small: bool, method: str = "sort", rank: str = "rank",
+def group_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], *, rank: str = "rank",
                size: str = "group_size") -> DataFrame:
     """Add the 1-based position of each row in its ``by`` group, and the group size.
 
     ``order`` must be a total order inside a group (end it with a unique
-    key); group keys must be non-null.
-
-    ``method='window'``: ``row_number`` over a window per group — one task
-    sorts a whole group, so use it only for groups of proven bounded size
-    (:func:`rank_method`). ``method='sort'``: instead of one task per group,
-    the frame is range-sorted by (group, order) — a group of any size spreads
+    key); group keys must be non-null. Instead of one task per group, the
+    frame is range-sorted by (group, order) — a group of any size spreads
     over many partitions — and each row gets its position in the sorted
     partition from ``monotonically_increasing_id``. The sorted, tagged frame
     is checkpointed so both uses below read the same partitions (and the
     lineage is cut). A small (group, partition) span table then gives every
     partition's offset inside each group.
-
-    ``groups_small``: the caller proves the number of groups is small (e.g.
-    they are stores and the stores table fits a broadcast), so the span
-    table — at most groups + partitions rows — is broadcast.
     """
-    if method == "window":
-        w = Window.partitionBy(*by)
-        return df.withColumn(rank, F.row_number().over(w.orderBy(*order))) \
-            .withColumn(size, F.count(F.lit(1)).over(w))
-    if method != "sort":
-        raise ValueError(f"method must be 'window' or 'sort', not {method!r}")
     ensure_checkpoint_dir(df.sparkSession)
     keys = [F.col(c) for c in by]
     tagged = (df.sort(*keys, *order)
@@ -85,9 +79,6 @@ def group_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], *,
     spans = spans.select(*by, "_part", "_first",
                          F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
                          F.sum("_n").over(whole).alias(size))
-    # The range sort has at most spark.sql.shuffle.partitions partitions.
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = groups_small and parts <= MAX_BROADCAST_SPANS
-    ranked = tagged.join(F.broadcast(spans) if small else spans, [*by, "_part"])
+    ranked = tagged.join(spans, [*by, "_part"])
     return (ranked.withColumn(rank, F.col("_pos") - F.col("_first") + F.col("_before") + 1)
             .drop("_pos", "_part", "_first", "_before"))

@@ -30,6 +30,7 @@ NEW_YEARS = (1996, 1997)
 NAME_PATTERN = "%widget%"
 EVENT_YEARS = (2024,)
 STORE = 7
+FIXED_STORES = 32
 
 
 @dataclass(frozen=True)
@@ -40,11 +41,11 @@ class TestTables:
 
 def _flat_map(df: DataFrame) -> DataFrame:
     return df.select("storeid", "city", "latitude", "longitude",
-                     F.explode("monthly_revenues").alias("month", "revenue"))
+                     F.posexplode("monthly_revenues").alias("pos", "month", "revenue"))
 
 
 def _flat_segments(df: DataFrame) -> DataFrame:
-    return df.select("storeid", F.inline("rfm_data"))
+    return df.select("storeid", F.posexplode("rfm_data").alias("pos", "r")).select("storeid", "pos", "r.*")
 
 
 def _round(cols, digits=6):
@@ -64,6 +65,8 @@ REPORTS: dict[str, tuple[Callable[[TestTables], DataFrame], Callable | None]] =
     "store_year_revenue_item": (lambda d: stores.store_year_revenue(d.t, mode="item"), None),
     "store_year_order_count": (lambda d: stores.store_year_order_count(d.t), None),
     "store_scatter": (lambda d: stores.store_scatter(d.t), None),
+    "store_scatter_item": (lambda d: stores.store_scatter(d.t, mode="item"), None),
+    "store_trend_item": (lambda d: stores.store_trend(d.t, mode="item"), _round({"slope", "intercept", "r2"})),
     "store_trend": (lambda d: stores.store_trend(d.t), _round({"slope", "intercept", "r2"})),
     "kpi_total_customers": (lambda d: customers.kpi_total_customers(d.t), None),
     "kpi_total_revenue": (lambda d: sales.kpi_total_revenue(d.t), None),
@@ -73,6 +76,9 @@ REPORTS: dict[str, tuple[Callable[[TestTables], DataFrame], Callable | None]] =
     "kpi_new_customers": (lambda d: sales.kpi_new_customers(d.t, *NEW_YEARS), None),
     "kpi_revenue_per_year": (lambda d: sales.kpi_revenue_per_year(d.t, NEW_YEARS), None),
     "kpi_avg_store_revenue_per_year": (lambda d: sales.kpi_avg_store_revenue_per_year(d.t, NEW_YEARS), None),
+    "kpi_avg_store_revenue_per_year_fixed": (
+        lambda d: sales.kpi_avg_store_revenue_per_year(d.t, NEW_YEARS, n_stores=FIXED_STORES), None),
+    "kpi_summary_item": (lambda d: sales.kpi_summary(d.t, *NEW_YEARS, mode="item"), None),
     "kpi_summary": (lambda d: sales.kpi_summary(d.t, *NEW_YEARS), None),
     "kpi_cards": (lambda d: sales.kpi_cards(d.t, *NEW_YEARS), None),
     "store_monthly_revenue": (lambda d: sales.store_monthly_revenue(d.t), None),
@@ -89,6 +95,8 @@ REPORTS: dict[str, tuple[Callable[[TestTables], DataFrame], Callable | None]] =
     "product_size_sales_item": (lambda d: products.product_size_sales(d.t, mode="item"), None),
     "orders_per_hour": (lambda d: stores.orders_per_hour(d.ev, EVENT_YEARS), None),
     "orders_per_hour_band": (lambda d: stores.orders_per_hour_band(d.ev, EVENT_YEARS), None),
+    "orders_per_hour_band_store": (lambda d: stores.orders_per_hour_band(d.ev, EVENT_YEARS, STORE), None),
+    "weekday_named_store": (lambda d: stores.weekday_named(d.t, YEAR, STORE), None),
     "revenue_per_weekday": (lambda d: stores.revenue_per_weekday(d.t, RANK_YEARS), None),
     "weekday_named": (lambda d: stores.weekday_named(d.t, YEAR), None),
     "product_boxplot": (lambda d: products.product_boxplot(d.t),
@@ -96,6 +104,9 @@ REPORTS: dict[str, tuple[Callable[[TestTables], DataFrame], Callable | None]] =
     "rfm_orders": (lambda d: customers.rfm_orders(d.t, YEAR), None),
     "rfm_orders_item": (lambda d: customers.rfm_orders(d.t, YEAR, mode="item"), None),
     "rfm_scores": (lambda d: customers.rfm_scores(d.t, YEAR), None),
+    "rfm_scores_item": (lambda d: customers.rfm_scores(d.t, YEAR, mode="item"), None),
+    "rfm_scores_unique_edges": (lambda d: customers.rfm_scores(d.t, YEAR, duplicates="raise"), None),
+    "rfm_segments_store": (lambda d: customers.rfm_segments(d.t, YEAR, STORE), None),
     "rfm_segments": (lambda d: customers.rfm_segments(d.t, YEAR), None),
     "rfm_segments_nested": (lambda d: customers.rfm_segments_nested(d.t, YEAR), _flat_segments),
     "rfm_monetary_table": (lambda d: customers.rfm_monetary_table(d.t, YEAR), None),
@@ -118,13 +129,13 @@ def checked(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-_TABLES: dict[tuple[int, str], TestTables] = {}
+_TABLES: dict[tuple[str, str], TestTables] = {}
 
 
 def test_tables(spark: SparkSession, sf_dir: str) -> TestTables:
     """Lazy logical tables of ``sf_dir`` (memoised per session and folder,
     so the broadcast size checks run once)."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TABLES:
         t = tables_from_tpch(spark, sf_dir)
         _TABLES[key] = TestTables(t, t.with_orders(event_orders(spark, sf_dir)))
@@ -142,12 +153,12 @@ def materialize(spark: SparkSession, sf_dir: str, path: str) -> TestTables:
     lazy = tables_from_tpch(spark, sf_dir)
     root = write_tables(lazy, f"{path.rstrip('/')}/shop")
     event_orders(spark, sf_dir).repartitionByRange(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), "orderdate") \
-        .sortWithinPartitions("orderdate").write.parquet(f"{path.rstrip('/')}/event_orders")
+        int(spark.conf.get("spark.sql.shuffle.partitions")), "orderdate", "orderid") \
+        .sortWithinPartitions("orderdate", "orderid").write.parquet(f"{path.rstrip('/')}/event_orders")
     t = read_tables(spark, root)
     ev = t.with_orders(spark.read.parquet(f"{path.rstrip('/')}/event_orders"))
-    _TABLES[(id(spark), sf_dir)] = TestTables(t, ev)
-    return _TABLES[(id(spark), sf_dir)]
+    _TABLES[(spark.sparkContext.applicationId, sf_dir)] = TestTables(t, ev)
+    return _TABLES[(spark.sparkContext.applicationId, sf_dir)]
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.dates import in_years, whole_days
 from storelens.operators.densify import densify
-from storelens.operators.quantiles import (bin_of_edges, edges_over_window, qcut_rank, qcut_value, rank_bin,
-                                           unique_edges_or_fail)
-from storelens.operators.ranking import WINDOW_MAX_ROWS, rank_method
+from storelens.functions.text import money_text
+from storelens.operators.quantiles import qcut_value, rank_bin
+from storelens.operators.ranking import class_rank, range_tagged
 from storelens.plans.common import known_stores, order_item_sums, order_value, store_filter
-from storelens.session import ensure_checkpoint_dir
 from storelens.sources.tables import ShopTables
 
 # Fixed value: number of score bins and segments.
@@ -39,8 +38,15 @@ def rfm_orders(t: ShopTables, year: int = 2022, mode: str = "reference") -> Data
                          order_value(mode).alias("total_amount"))
 
 
+def customer_values(t: ShopTables, year: int = 2022, mode: str = "reference") -> DataFrame:
+    """Per store and customer (null included): last order, number of orders, Σ order value (0 if all are null)."""
+    return (rfm_orders(t, year, mode).groupBy("storeid", "customerid")
+            .agg(F.max("orderdate").alias("last_order"), F.count("orderid").alias("frequency"),
+                 F.coalesce(F.sum("total_amount"), F.lit(0)).alias("monetary")))
+
+
 def rfm_scores(t: ShopTables, year: int = 2022, duplicates: str = "skip",
-               mode: str = "reference", window_max_rows: int = WINDOW_MAX_ROWS) -> DataFrame:
+               mode: str = "reference", store=None) -> DataFrame:
     """Q31: recency, frequency, monetary and their scores per store and customer.
 
     Per store, ``current`` is one day after the store's last order (orders of
@@ -52,75 +58,40 @@ def rfm_scores(t: ShopTables, year: int = 2022, duplicates: str = "skip",
     digits as text; ``segment`` bins the rank of that text (ties by customer
     id), 1 the best quarter.
 
-    Every statistic is per store. The per-customer table is checkpointed
-    (it is read several times; the lineage through the order-item join is
-    cut). Recency quartiles use Spark's exact ``percentile`` (a day-count
-    domain); frequency ranks, monetary quartiles and segments use in-store
-    ranks: a window per store when the largest store is provably small
-    enough for one task, else distributed sorts that spread a store over
-    many tasks (:func:`storelens.operators.ranking.group_rank`).
+    Every statistic is per store, so ``store`` can filter the orders. The
+    join of orders and items runs once, into the small per-customer table
+    that everything else reads. That table is checkpointed in ranges of
+    (store, customer), which gives the ranks of frequency and rfm_score from
+    counts (few distinct values, :func:`class_rank`); recency quartiles use
+    Spark's exact ``percentile`` (a day-count domain), monetary quartiles a
+    distributed sort with the second checkpoint. No step puts a store in one
+    task.
     """
-    rows = rfm_orders(t, year, mode)
-    small = t.is_small("stores")
-    current = rows.groupBy("storeid").agg((F.max("orderdate") + F.expr("INTERVAL 1 DAY")).alias("current_date"))
-    cust = (rows.where(F.col("customerid").isNotNull())
-            .groupBy("storeid", "customerid")
-            .agg(F.max("orderdate").alias("last_order"), F.count("orderid").alias("frequency"),
-                 F.sum("total_amount").alias("monetary")))
-    cust = cust.join(F.broadcast(current) if small else current, "storeid") \
-        .withColumn("recency", whole_days("last_order", "current_date")) \
-        .drop("last_order", "current_date")
-    ensure_checkpoint_dir(t.spark)
-    cust = cust.checkpoint(eager=True)
-    how = rank_method(cust, ["storeid"], window_max_rows)
-    s = qcut_value(cust, ["storeid"], "recency", "r_score", RFM_BINS, method="count",
-                   duplicates=duplicates, groups_small=small)
-    if how == "window":
-        s = _store_window_scores(s, duplicates)
-    else:
-        s = qcut_rank(s, ["storeid"], [F.asc("frequency"), F.asc("customerid")], "f_score", RFM_BINS,
-                      reverse=True, method=how, groups_small=small)
-        s = qcut_value(s, ["storeid"], "monetary", "m_score", RFM_BINS, reverse=True, method=how,
-                       duplicates=duplicates, groups_small=small, tie=["customerid"])
-        s = s.withColumn("rfm_score", _rfm_text())
-        s = qcut_rank(s, ["storeid"], [F.asc("rfm_score"), F.asc("customerid")], "segment", RFM_BINS,
-                      method=how, groups_small=small)
+    values = customer_values(t if store is None else t.with_orders(store_filter(t.orders, store)), year, mode)
+    values = range_tagged(values, [F.col("storeid"), F.col("customerid")])
+    current = values.groupBy("storeid").agg((F.max("last_order") + F.expr("INTERVAL 1 DAY")).alias("current_date"))
+    s = (values.where(F.col("customerid").isNotNull()).join(current, "storeid")
+         .withColumn("recency", whole_days("last_order", "current_date")).drop("last_order", "current_date"))
+    s = qcut_value(s, ["storeid"], "recency", "r_score", RFM_BINS, duplicates=duplicates)
+    s = qcut_value(s, ["storeid"], "monetary", "m_score", RFM_BINS, reverse=True, method="sort",
+                   duplicates=duplicates, tie=["customerid"])
+    s = _binned_rank(s, "frequency", "f_score", reverse=True)
+    s = s.withColumn("rfm_score", F.concat(*[F.col(c).cast("string") for c in ("r_score", "f_score", "m_score")]))
+    s = _binned_rank(s, "rfm_score", "segment")
     return s.select("storeid", "customerid", "recency", "frequency", "monetary",
                     "r_score", "f_score", "m_score", "rfm_score", "segment")
 
 
-def _rfm_text():
-    return F.concat(*[F.col(c).cast("string") for c in ("r_score", "f_score", "m_score")])
-
-
-def _store_window_scores(s: DataFrame, duplicates: str) -> DataFrame:
-    """f_score, m_score, rfm_score and segment with windows per store (stores of
-    proven bounded size). All ranks and the monetary edges are window
-    functions over the same store partitioning: one shuffle, no join."""
-    w = Window.partitionBy("storeid")
-    ranked = (s.withColumn("_N", F.count(F.lit(1)).over(w))
-              .withColumn("_Nm", F.count("monetary").over(w))
-              .withColumn("_fr", F.row_number().over(w.orderBy("frequency", "customerid")))
-              .withColumn("_mr", F.row_number().over(w.orderBy(F.asc_nulls_last("monetary"), "customerid"))))
-    scored = edges_over_window(ranked, w, "monetary", "_mr", "_Nm", RFM_BINS, prefix="_m_e")
-    m_bin = bin_of_edges(F.col("monetary").cast("double"), RFM_BINS, "_m_e")
-    if duplicates == "raise":
-        m_bin = unique_edges_or_fail(m_bin, RFM_BINS, "_m_e", "monetary")
-    scored = (scored.withColumn("f_score", (F.lit(RFM_BINS + 1) - rank_bin("_fr", "_N", RFM_BINS)).cast("int"))
-              .withColumn("m_score", (F.lit(RFM_BINS + 1) - m_bin).cast("int")))
-    scored = scored.withColumn("rfm_score", _rfm_text())
-    scored = scored.withColumn("_sr", F.row_number().over(w.orderBy("rfm_score", "customerid")))
-    return scored.withColumn("segment", rank_bin("_sr", "_N", RFM_BINS).cast("int"))
+def _binned_rank(s: DataFrame, value: str, out: str, reverse: bool = False) -> DataFrame:
+    """Quarter of the in-store rank of ``value`` (ties by customer id)."""
+    ranked = class_rank(s, ["storeid"], value, "customerid", rank="_r", size="_N")
+    b = rank_bin("_r", "_N", RFM_BINS)
+    return ranked.withColumn(out, (F.lit(RFM_BINS + 1) - b if reverse else b).cast("int")).drop("_r", "_N")
 
 
-def rfm_segments(t: ShopTables, year: int = 2022, store=None, duplicates: str = "skip",
-                 mode: str = "reference") -> DataFrame:
-    """Q32: per store and segment 1…4: customers and mean recency, frequency, monetary.
-
-    All four segments of a store appear; an empty one has 0 customers and
-    null means.
-    """
-    s = store_filter(rfm_scores(t, year, duplicates, mode), store)
+def _segments(t: ShopTables, year: int, store, duplicates: str, mode: str) -> DataFrame:
+    """Customers and mean values per store and segment, all four segments of a store; unsorted."""
+    s = rfm_scores(t, year, duplicates, mode, store)
     agg = s.groupBy("storeid", "segment").agg(
         F.count("customerid").alias("customer_count"), F.sum("recency").alias("_r"),
         F.sum("frequency").alias("_f"), F.sum("monetary").alias("_m"))
@@ -131,21 +102,32 @@ def rfm_segments(t: ShopTables, year: int = 2022, store=None, duplicates: str =
         "storeid", "segment", "customer_count",
         F.try_divide(F.col("_r").cast("double"), n).alias("avg_recency"),
         F.try_divide(F.col("_f").cast("double"), n).alias("avg_frequency"),
-        F.try_divide(F.col("_m").cast("double"), n).alias("avg_monetary")).orderBy("storeid", "segment")
+        F.try_divide(F.col("_m").cast("double"), n).alias("avg_monetary"))
+
+
+def rfm_segments(t: ShopTables, year: int = 2022, store=None, duplicates: str = "skip",
+                 mode: str = "reference") -> DataFrame:
+    """Q32: per store and segment 1…4: customers and mean recency, frequency, monetary.
+
+    All four segments of a store appear; an empty one has 0 customers and
+    null means.
+    """
+    return _segments(t, year, store, duplicates, mode).orderBy("storeid", "segment")
 
 
 def rfm_segments_nested(t: ShopTables, year: int = 2022, store=None, duplicates: str = "skip",
                         mode: str = "reference") -> DataFrame:
     """Q33: Q32 as one row per store with the array ``rfm_data`` of segment records."""
-    seg = rfm_segments(t, year, store, duplicates, mode)
+    seg = _segments(t, year, store, duplicates, mode)
     rec = F.struct("segment", "customer_count", "avg_recency", "avg_frequency", "avg_monetary")
     return seg.groupBy("storeid").agg(F.sort_array(F.collect_list(rec)).alias("rfm_data")).orderBy("storeid")
 
 
 def rfm_monetary_table(t: ShopTables, year: int = 2022, store=None, duplicates: str = "skip",
                        mode: str = "reference") -> DataFrame:
-    """Q34: Σ of the mean monetary value per store and segment (0 for an empty segment)."""
-    seg = rfm_segments(t, year, store, duplicates, mode)
+    """Q34: Σ of the mean monetary value per store and segment (0 for an empty segment), with its money text."""
+    seg = _segments(t, year, store, duplicates, mode)
     return (seg.groupBy("storeid", "segment")
             .agg(F.coalesce(F.sum("avg_monetary"), F.lit(0.0)).alias("avg_monetary"))
+            .withColumn("monetary_label", money_text("avg_monetary"))
             .orderBy("storeid", "segment"))

@@ -45,14 +45,14 @@ def revenue_by_product(t: ShopTables, years: Sequence[int] = RANK_YEARS) -> Data
 
 
 def revenue_share_by_product(t: ShopTables, years: Sequence[int] = RANK_YEARS) -> DataFrame:
-    """Q21: Q20 with each product's share of its year's revenue.
+    """Q21: Q20 with each product's share of its year's revenue (null in a year whose total is 0).
 
     Year totals are an aggregate joined back by broadcast (at most
     ``len(years)`` rows), so no task ever holds all products of a year.
     """
     r = revenue_by_product(t, years)
     totals = r.groupBy("order_year").agg(F.sum("total_revenue").alias("_year_total"))
-    share = F.col("total_revenue").cast("double") / F.col("_year_total").cast("double")
+    share = F.try_divide(F.col("total_revenue").cast("double"), F.col("_year_total").cast("double"))
     return (r.join(F.broadcast(totals), "order_year")
             .select("name", "order_year", "total_revenue", share.alias("share"))
             .orderBy("order_year", F.desc_nulls_first("total_revenue"), "name"))
@@ -77,11 +77,12 @@ def product_size_sales(t: ShopTables, mode: str = "reference") -> DataFrame:
 
 def customer_product_counts(t: ShopTables, min_count: int = 2) -> DataFrame:
     """Items per (customer, product name) for known customers, kept when >= ``min_count``."""
-    named = join_dim(t.orderitems, t.products.select("sku", "name"), "sku", small=t.is_small("products"))
-    with_cust = named.join(t.orders.select("orderid", "customerid"), "orderid")
-    known = join_dim(with_cust, t.customers.select("customerid"), "customerid", "left_semi",
-                     small=t.is_small("customers"))
-    return (known.groupBy("customerid", "name").agg(F.count(F.lit(1)).alias("order_count"))
+    # one narrow row per order meets the customers, not one per item
+    orders = join_dim(t.orders.select("orderid", "customerid"), t.customers.select("customerid"), "customerid",
+                      "left_semi", small=t.is_small("customers"))
+    per_sku = t.orderitems.join(orders, "orderid").groupBy("customerid", "sku").agg(F.count(F.lit(1)).alias("n"))
+    named = join_dim(per_sku, t.products.select("sku", "name"), "sku", small=t.is_small("products"))
+    return (named.groupBy("customerid", "name").agg(F.sum("n").alias("order_count"))
             .where(F.col("order_count") >= min_count))
 
 

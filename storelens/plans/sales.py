@@ -16,6 +16,7 @@ from storelens.plans.common import (known_stores, order_item_sums, order_value,
                                     with_store)
 from storelens.sources.tables import ShopTables
 
+# The reports' default years.
 PIVOT_YEARS = (2018, 2019, 2020, 2021, 2022)
 RANK_YEARS = (2020, 2021, 2022)
 
@@ -131,34 +132,32 @@ def kpi_summary(t: ShopTables, y0: int = 2021, y1: int = 2022, n_stores: int | N
                 mode: str = "reference") -> DataFrame:
     """Q15: one row of headline figures and their change from ``y0`` to ``y1``.
 
-    Each figure is a scalar subquery. The revenue figures all read one
-    aggregate of orders by (store, year) and the new-customer counts one
-    aggregate by customer (a struct of both years), so Spark scans and
-    shuffles orders once for each and reuses the exchanges. A year without
-    orders counts as 0 revenue; a change against a zero base is null, except
-    new customers, where it is 0.
+    Three aggregates read the orders: one by (store, year), folded into a
+    struct of all revenue figures; the new-customer counts by customer (a
+    struct of both years); the median by store over the items of ``y1``. A
+    year without orders counts as 0 revenue; a change against a zero base is
+    null, except new customers, where it is 0.
     """
     y0, y1 = int(y0), int(y1)
-    base = t.orders.groupBy("storeid", F.year("orderdate").alias("year")).agg(F.sum("total").alias("rev"))
     zero = F.lit(0).cast("decimal(22,2)")
-
-    def year_rev(y):
-        return F.coalesce(base.where(F.col("year") == F.lit(y)).select(F.sum("rev")).scalar(), zero)
-
-    per_store = base.groupBy("storeid").agg(F.sum("rev").alias("store_revenue"))
-    avg_store = per_store.select(F.try_divide(F.sum("store_revenue").cast("double"),
-                                              F.count("store_revenue").cast("double"))).scalar()
+    total = F.col("total")
+    year = F.year("orderdate")
+    per_store = t.orders.groupBy("storeid").agg(
+        F.sum(total).alias("rev"), *[F.sum(F.when(year == y, total)).alias(f"rev{y}") for y in sorted({y0, y1})])
+    sums = per_store.select(F.struct(
+        F.sum("rev").alias("total"), F.try_divide(F.sum("rev").cast("double"), F.count("rev").cast("double")).alias("avg"),
+        *[F.coalesce(F.sum(f"rev{y}"), zero).alias(f"y{y}") for y in sorted({y0, y1})])).scalar()
     first = first_order_years(t)
     nc = first.select(F.struct(*[F.count(F.when(F.col("first_year") == F.lit(y), F.col("customerid"))).alias(f"y{y}")
-                                 for y in (y0, y1)])).scalar()
+                                 for y in sorted({y0, y1})])).scalar()
     nc0, nc1 = nc.getField(f"y{y0}"), nc.getField(f"y{y1}")
     n = F.lit(int(n_stores)) if n_stores else store_count(t)
-    rev0, rev1 = year_rev(y0), year_rev(y1)
+    rev0, rev1 = sums.getField(f"y{y0}"), sums.getField(f"y{y1}")
     avg0, avg1 = (F.try_divide(r.cast("double"), n.cast("double")) for r in (rev0, rev1))
     return t.spark.range(1).select(
         t.customers.select(F.count(F.lit(1))).scalar().alias("total_customers"),
-        base.select(F.sum("rev")).scalar().alias("total_revenue"),
-        avg_store.alias("average_revenue_per_store"),
+        sums.getField("total").alias("total_revenue"),
+        sums.getField("avg").alias("average_revenue_per_store"),
         kpi_median_store_revenue(t, y1, mode).scalar().alias(f"median_revenue_from_stores_{y1}"),
         nc0.alias(f"new_customers_{y0}"),
         nc1.alias(f"new_customers_{y1}"),
@@ -185,20 +184,21 @@ def kpi_cards(t: ShopTables, y0: int = 2021, y1: int = 2022, n_stores: int | Non
         millions_text(f"median_revenue_from_stores_{y1}").alias("median_revenue_card"))
 
 
-def store_monthly_revenue(t: ShopTables) -> DataFrame:
-    """Q16: revenue per store and ``yyyy-MM`` month (stores of the stores table)."""
+def _monthly(t: ShopTables) -> DataFrame:
     per_month = t.orders.groupBy("storeid", month_key("orderdate").alias("month")) \
         .agg(F.sum("total").alias("revenue"))
-    out = with_store(t, per_month)
-    return out.select("storeid", "city", "latitude", "longitude", "month", "revenue") \
-        .orderBy(F.asc_nulls_last("city"), "month", "storeid")
+    return with_store(t, per_month).select("storeid", "city", "latitude", "longitude", "month", "revenue")
+
+
+def store_monthly_revenue(t: ShopTables) -> DataFrame:
+    """Q16: revenue per store and ``yyyy-MM`` month (stores of the stores table)."""
+    return _monthly(t).orderBy(F.asc_nulls_last("city"), "month", "storeid")
 
 
 def store_monthly_revenue_map(t: ShopTables) -> DataFrame:
-    """Q17: one row per store; ``monthly_revenues`` maps month → revenue."""
-    m = store_monthly_revenue(t)
+    """Q17: one row per store; ``monthly_revenues`` maps month → revenue, months ascending."""
     entries = F.sort_array(F.collect_list(F.struct("month", "revenue")))
-    return (m.groupBy("storeid", "city", "latitude", "longitude")
+    return (_monthly(t).groupBy("storeid", "city", "latitude", "longitude")
             .agg(F.map_from_entries(entries).alias("monthly_revenues"))
             .orderBy(F.asc_nulls_last("city"), "storeid"))
 
@@ -219,10 +219,12 @@ def store_monthly_filled(t: ShopTables, year: int = 2022, store=None) -> DataFra
 
 def sales_map(t: ShopTables, year: int = 2022) -> DataFrame:
     """Q35: stores with their revenue of ``year`` (0 when none), highest first."""
-    rev = store_annual_revenues(t, [year])
-    return rev.select("storeid", "latitude", "longitude", "city",
-                      F.col(f"revenue_{int(year)}").alias("revenue")) \
-        .orderBy(F.desc_nulls_first("revenue"), "storeid")
+    of_year = (t.orders.where(in_years("orderdate", [year]))
+               .groupBy("storeid").agg(F.sum("total").alias("revenue")))
+    stores = with_store(t, t.orders.select("storeid").distinct())  # stores with orders in any year: one column read
+    return (stores.join(of_year, "storeid", "left")
+            .select("storeid", "latitude", "longitude", "city", F.coalesce("revenue", F.lit(0)).alias("revenue"))
+            .orderBy(F.desc_nulls_first("revenue"), "storeid"))
 
 
 def stores_table(t: ShopTables, year: int = 2022, best: bool = True, k: int = 5) -> DataFrame:

@@ -59,7 +59,7 @@ def store_scatter(t: ShopTables, mode: str = "reference") -> DataFrame:
     joined = orders.join(order_item_sums(t), "orderid", "left")
     out = (joined.groupBy("storeid", F.year("orderdate").alias("year"))
            .agg(F.sum(order_value(mode)).alias("revenue"), F.count("orderid").alias("order_count"),
-                F.count("price_sum").alias("_with_items"))
+                F.count("item_rows").alias("_with_items"))
            .where(F.col("_with_items") > 0))
     return out.select("storeid", "year", "revenue", F.col("order_count").cast("long").alias("order_count"),
                       short_money(F.bround(F.col("revenue"), 1)).alias("revenue_label")) \
