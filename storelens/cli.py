@@ -8,7 +8,8 @@
 ``--tables`` is a folder with ``stores customers orders orderitems products``
 (any Spark file format, ``--tables-format``); ``--tpch`` reads the TPC-H
 style test tables instead. Parameters are the report function's keyword
-arguments; comma lists become lists of integers.
+arguments, converted by their annotation; a store key by its column's type.
+Under spark-submit the session is the cluster's.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ import argparse
 import inspect
 import sys
 
+from pyspark.sql import SparkSession
+from pyspark.sql.types import StringType
+
 from storelens.plans import customers, products, sales, stores
 
 MODULES = (sales, stores, products, customers)
@@ -28,22 +32,42 @@ REPORTS = {name: fn for m in MODULES for name, fn in vars(m).items()
            and inspect.signature(fn).return_annotation in ("DataFrame", "pyspark.sql.DataFrame")}
 
 
-def _value(text: str):
-    if "," in text:
-        return [_value(x) for x in text.split(",") if x]
-    for cast in (int, float):
-        try:
-            return cast(text)
-        except ValueError:
-            pass
-    return {"true": True, "false": False, "none": None}.get(text.lower(), text)
+def _typed(kind: str, text: str):
+    """``text`` as the type that a parameter's annotation names."""
+    optional, kind = "None" in kind, kind.replace("| None", "").strip()
+    if optional and text.lower() == "none":
+        return None
+    if kind.startswith("Sequence[int]"):
+        return [int(x) for x in text.split(",") if x]
+    if kind == "int":
+        return int(text)
+    if kind == "bool":
+        if text.lower() not in ("true", "false"):
+            raise ValueError(f"true or false, not {text!r}")
+        return text.lower() == "true"
+    return text
+
 
+def parse_params(pairs) -> dict[str, str]:
+    """``key=value`` pairs as text; :func:`build` converts them."""
+    return {key: raw for key, _, raw in (pair.partition("=") for pair in pairs or [])}
 
-def parse_params(pairs) -> dict:
+
+def _convert(fn, t, params: dict) -> dict:
+    """Text values by the parameter's annotation; a store by the type of ``stores.storeid``."""
     out = {}
-    for pair in pairs or []:
-        key, _, raw = pair.partition("=")
-        out[key] = _value(raw)
+    for key, value in params.items():
+        if not isinstance(value, str):
+            out[key] = value
+            continue
+        try:
+            if key == "store":
+                keys = t.stores.schema["storeid"].dataType
+                out[key] = value if isinstance(keys, StringType) else int(value)
+            else:
+                out[key] = _typed(str(inspect.signature(fn).parameters[key].annotation), value)
+        except ValueError as exc:
+            raise SystemExit(f"--param {key}={value}: {exc}") from None
     return out
 
 
@@ -56,7 +80,7 @@ def build(name: str, t, params: dict):
     unknown = set(params) - allowed
     if unknown:
         raise SystemExit(f"{name} takes {sorted(allowed)}, not {sorted(unknown)}")
-    return fn(t, **params)
+    return fn(t, **_convert(fn, t, params))
 
 
 def main(argv=None, spark=None) -> int:
@@ -84,8 +108,7 @@ def main(argv=None, spark=None) -> int:
     from storelens.sources import read_tables, tables_from_tpch, write_report
 
     if spark is None:
-        from storelens.session import local_session
-        spark = local_session()
+        spark = SparkSession.builder.appName("storelens").getOrCreate()  # master and settings from spark-submit
     t = (tables_from_tpch(spark, args.tpch) if args.tpch
          else read_tables(spark, args.tables, fmt=args.tables_format))
     df = build(args.name, t, parse_params(args.param))

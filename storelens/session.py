@@ -37,7 +37,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -45,9 +44,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting one only where unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only a local-mode session without the setting (a test) gets a fresh
-    folder under the system temp directory; a cluster session without it is
-    an error, since a machine-local folder would not survive executor loss.
+    is. Only a single-machine session (``local[...]``) without the setting, as in
+    tests, gets a fresh folder under the system temp directory, once it is
+    needed; a cluster session without it is an error, since a machine-local
+    folder would not survive executor loss.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -62,7 +62,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder: storelens "
                            "checkpoints ranked intermediates there")
     folder = tempfile.mkdtemp(prefix="storelens-ckpt-", dir=os.environ.get("TMPDIR"))

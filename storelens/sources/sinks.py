@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -14,12 +15,32 @@ def write_report(df: DataFrame, path: str, partition_by: Sequence[str] = (),
 
     Reports are small aggregates, so no repartitioning is forced; with
     ``partition_by`` Spark writes one folder per value and later reads prune
-    by it. Returns ``path``.
+    by it. ``overwrite`` writes a new folder beside the old one and then
+    switches the names: a failed write leaves the old report, and readers
+    find a whole one (on file systems with atomic renames). Returns ``path``.
     """
-    writer = df.write.mode(mode).format(fmt)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.save(path)
+    def write(to: str, how: str) -> None:
+        writer = df.write.mode(how).format(fmt)
+        (writer.partitionBy(*partition_by) if partition_by else writer).save(to)
+
+    if mode != "overwrite":
+        write(path, mode)
+        return path
+    root, tag = path.rstrip("/"), uuid.uuid4().hex[:12]
+    folder, _, name = root.rpartition("/")
+    new, old = (f"{folder}/.{name}-{kind}-{tag}" if folder else f".{name}-{kind}-{tag}" for kind in ("new", "old"))
+    write(new, "errorifexists")
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(root).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    before = fs.exists(hadoop(root))
+    if before and not fs.rename(hadoop(root), hadoop(old)):
+        raise OSError(f"cannot replace {path}")
+    if not fs.rename(hadoop(new), hadoop(root)):
+        if before:
+            fs.rename(hadoop(old), hadoop(root))
+        raise OSError(f"cannot move the new report to {path}")
+    if before:
+        fs.delete(hadoop(old), True)
     return path
 
 

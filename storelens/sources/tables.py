@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storelens.operators.joins import fits_broadcast
@@ -25,6 +26,16 @@ SCHEMA = {
                  "size": _KEY, "price": (T.DecimalType,)},
 }
 TABLES = tuple(SCHEMA)
+KEYS = {"stores": "storeid", "customers": "customerid", "orders": "orderid", "products": "sku"}
+# Column types for formats that carry none.
+TEXT_TYPES = {
+    "stores": {"storeid": "string", "city": "string", "latitude": "double", "longitude": "double"},
+    "customers": {"customerid": "string", "latitude": "double", "longitude": "double"},
+    "orders": {"orderid": "bigint", "customerid": "string", "storeid": "string", "orderdate": "timestamp_ntz",
+               "nitems": "int", "total": "decimal(12,2)"},
+    "orderitems": {"orderid": "bigint", "sku": "string"},
+    "products": {"sku": "string", "name": "string", "category": "string", "size": "string", "price": "decimal(12,2)"},
+}
 
 
 @dataclass(frozen=True)
@@ -49,9 +60,11 @@ class ShopTables:
     def is_small(self, name: str) -> bool:
         """True when table ``name`` provably fits the broadcast budget.
 
-        Checked once per bundle with a bounded count (see
+        Checked once per bundle (see
         :func:`storelens.operators.joins.fits_broadcast`); projections and
         filters of the table are smaller still, so the answer carries over.
+        A bundle is a snapshot: make a new one (:meth:`with_orders` does)
+        once the tables may have grown.
         """
         if name not in self._small:
             self._small[name] = fits_broadcast(getattr(self, name))
@@ -59,7 +72,7 @@ class ShopTables:
 
     def with_orders(self, orders: DataFrame) -> "ShopTables":
         """Same dimensions, other orders (e.g. a stream of timestamped events)."""
-        return replace(self, orders=orders, _small=self._small)
+        return replace(self, orders=orders, _small={})
 
     def check(self) -> "ShopTables":
         """Raise ``ValueError`` when a table misses a column or has a wrong type."""
@@ -76,10 +89,42 @@ class ShopTables:
         return self
 
 
-def read_tables(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> ShopTables:
-    """Read ``{path}/{table}`` for the five tables in any Spark file format."""
+    def check_keys(self) -> "ShopTables":
+        """Raise ``ValueError`` when a key column repeats a value (one aggregate per table).
+
+        The reports count keys instead of distinct values and rely on this.
+        """
+        problems = []
+        for name, key in KEYS.items():
+            again = getattr(self, name).where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
+            found = [r[key] for r in again.select(key).limit(3).collect()]
+            if found:
+                problems.append(f"{name}.{key} repeats {found}")
+        if problems:
+            raise ValueError("table keys: " + "; ".join(problems))
+        return self
+
+
+def read_tables(spark: SparkSession, path: str, fmt: str = "parquet", types: dict | None = None,
+                coerce: bool = False, **options) -> ShopTables:
+    """Read ``{path}/{table}`` for the five tables in any Spark file format.
+
+    Formats without types (JSON, CSV) are read with an explicit schema:
+    ``TEXT_TYPES``, or per column ``types={"orders": {"orderid": "bigint"}}``.
+    ``coerce=True`` reads such columns as text and casts them with
+    ``try_cast``, so a value that does not parse becomes null instead of
+    failing the query.
+    """
     reader = spark.read.format(fmt).options(**options)
-    frames = {name: reader.load(f"{path.rstrip('/')}/{name}") for name in TABLES}
+    if fmt not in ("json", "csv"):
+        return ShopTables(**{name: reader.load(f"{path.rstrip('/')}/{name}") for name in TABLES}).check()
+    frames = {}
+    for name in TABLES:
+        cols = TEXT_TYPES[name] | (types or {}).get(name, {})
+        ddl = ", ".join(f"{c} {'string' if coerce else kind}" for c, kind in cols.items())
+        frames[name] = reader.schema(ddl).load(f"{path.rstrip('/')}/{name}")
+        if coerce:
+            frames[name] = frames[name].select(*[F.col(c).try_cast(kind).alias(c) for c, kind in cols.items()])
     return ShopTables(**frames).check()
 
 
@@ -87,15 +132,16 @@ def write_tables(t: ShopTables, path: str, files_per_table: int | None = None,
                  mode: str = "errorifexists") -> str:
     """Write the five tables as Parquet under ``path`` for :func:`read_tables`.
 
-    Orders are range-partitioned by ``orderdate`` and sorted within files, so
-    each file and row group covers a narrow date range and the reports'
+    Orders are range-partitioned by (``orderdate``, ``orderid``) — a date with
+    very many orders spreads over files — and sorted within files, so each
+    file and row group covers a narrow date range and the reports'
     pushed-down year ranges skip most of them; order items are clustered by
     ``orderid`` for the same reason on the join side. ``files_per_table``
     defaults to the session's shuffle partition count.
     """
     n = files_per_table or int(t.spark.conf.get("spark.sql.shuffle.partitions"))
     root = path.rstrip("/")
-    t.orders.repartitionByRange(n, "orderdate").sortWithinPartitions("orderdate") \
+    t.orders.repartitionByRange(n, "orderdate", "orderid").sortWithinPartitions("orderdate", "orderid") \
         .write.mode(mode).parquet(f"{root}/orders")
     t.orderitems.repartitionByRange(n, "orderid").sortWithinPartitions("orderid") \
         .write.mode(mode).parquet(f"{root}/orderitems")
@@ -121,6 +167,8 @@ def write_bucketed_tables(t: ShopTables, database: str, path: str, buckets: int,
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{root}'")
 
     def save(df, name, bucket=False, sort=None):
+        if bucket:  # a task writes one bucket, so there are at most ``buckets`` files
+            df = df.repartition(buckets, "orderid")
         w = df.write.mode(mode).option("path", f"{root}/{name}")
         if bucket:
             w = w.bucketBy(buckets, "orderid").sortBy(sort)
@@ -138,15 +186,30 @@ def read_catalog_tables(spark: SparkSession, database: str) -> ShopTables:
     return ShopTables(**{name: spark.table(f"`{database}`.`{name}`") for name in TABLES}).check()
 
 
+def jdbc_options(url: str, name: str, properties: dict | None = None, table_names: dict | None = None,
+                 partitions: dict | None = None) -> dict[str, str]:
+    """Reader options of one table: the common ``properties``, then those of ``partitions[name]``.
+
+    Timestamps without a zone stay that way (``preferTimestampNTZ``).
+    """
+    own = (partitions or {}).get(name, {})
+    needed = {"partitionColumn", "lowerBound", "upperBound", "numPartitions"}
+    if own and set(own) & needed and not needed <= set(own):
+        raise ValueError(f"{name}: a partitioned read needs {sorted(needed)}")
+    out = {"url": url, "dbtable": (table_names or {}).get(name, name), "preferTimestampNTZ": "true"}
+    return {k: str(v) for k, v in (out | (properties or {}) | own).items()}
+
+
 def read_jdbc(spark: SparkSession, url: str, properties: dict | None = None,
-              table_names: dict | None = None) -> ShopTables:
+              table_names: dict | None = None, partitions: dict | None = None) -> ShopTables:
     """Read the five tables from a relational database over JDBC.
 
     ``table_names`` maps a logical name to the database table (default: the
     same name). Spark pushes the reports' filters and column lists into the
-    JDBC queries; partition large tables with ``partitionColumn`` options in
-    ``properties`` for parallel reads.
+    JDBC queries. ``partitions`` gives the large tables parallel reads, e.g.
+    ``{"orders": {"partitionColumn": "orderid", "lowerBound": 0, "upperBound":
+    10**9, "numPartitions": 400}}``; without it a table is read by one task.
     """
-    names = {name: (table_names or {}).get(name, name) for name in TABLES}
-    frames = {name: spark.read.jdbc(url, names[name], properties=properties or {}) for name in TABLES}
-    return ShopTables(**frames)
+    frames = {name: spark.read.format("jdbc").options(**jdbc_options(url, name, properties, table_names, partitions)).load()
+              for name in TABLES}
+    return ShopTables(**frames).check()

@@ -15,7 +15,7 @@ from storelens.functions.text import money_text, percent_text, short_money
 from storelens.operators.densify import densify, pct_change
 from storelens.operators.joins import fits_broadcast, join_dim
 from storelens.operators.quantiles import boxplot_stats, lower_median, qcut_rank, qcut_value, quantile_edges
-from storelens.operators.ranking import group_rank, largest_group, rank_method, top_k
+from storelens.operators.ranking import class_rank, group_rank, range_tagged, top_k
 
 SCHEMA = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("id", T.LongType()),
                        T.StructField("x", T.DoubleType())])
@@ -53,12 +53,12 @@ def _pandas_qcut(data, reverse=False):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("method", ["count", "window", "sort"])
+@pytest.mark.parametrize("method", ["count", "sort"])
 def test_qcut_value_matches_pandas(spark, seed, method):
     data = _series(seed)
     df = spark.createDataFrame(data, SCHEMA)
     got = {(r["g"], r["id"]): r["b"] for r in
-           qcut_value(df, ["g"], "x", "b", method=method, groups_small=True).collect()}
+           qcut_value(df, ["g"], "x", "b", method=method).collect()}
     want = _pandas_qcut(data)
     assert want, "some groups must have unique edges"
     for k, v in want.items():
@@ -82,13 +82,12 @@ def test_qcut_value_duplicates(spark):
         qcut_value(df, ["g"], "x", "b", duplicates="raise").collect()
 
 
-@pytest.mark.parametrize("method", ["window", "sort"])
-def test_qcut_rank_matches_pandas_first_rank(spark, method):
+def test_qcut_rank_matches_pandas_first_rank(spark):
     rnd = random.Random(5)
     data = [(g, i, float(rnd.randint(1, 4))) for g in range(2, 40) for i in range(g)]
     df = spark.createDataFrame(data, SCHEMA)
     got = {(r["g"], r["id"]): r["b"] for r in
-           qcut_rank(df, ["g"], [F.col("x"), F.col("id")], "b", method=method, groups_small=True).collect()}
+           qcut_rank(df, ["g"], [F.col("x"), F.col("id")], "b").collect()}
     pdf = pd.DataFrame(data, columns=["g", "id", "x"]).sort_values(["g", "id"])
     for g, grp in pdf.groupby("g"):
         bins = pd.qcut(grp["x"].rank(method="first"), 4, labels=[1, 2, 3, 4])
@@ -98,52 +97,51 @@ def test_qcut_rank_matches_pandas_first_rank(spark, method):
 
 def test_qcut_rank_is_not_ntile(spark):
     df = spark.createDataFrame([(1, i, float(i)) for i in range(6)], SCHEMA)
-    got = [r["b"] for r in qcut_rank(df, ["g"], [F.col("x")], "b", method="window").orderBy("x").collect()]
+    got = [r["b"] for r in qcut_rank(df, ["g"], [F.col("x")], "b").orderBy("x").collect()]
     # edges of ranks 1..6 are 1, 2.25, 3.5, 4.75, 6; ntile(4) would give 1,1,2,2,3,4
     assert got == [1, 1, 2, 3, 4, 4]
     one = spark.createDataFrame([(1, 1, 5.0)], SCHEMA)
     assert [r["b"] for r in qcut_rank(one, ["g"], [F.col("x")], "b").collect()] == [1]
 
 
-def test_group_rank_sort_equals_window(spark):
+def _ranked_by_hand(data):
+    out = {}
+    for g in {r[0] for r in data}:
+        order = sorted((x, i) for gg, i, x in data if gg == g)
+        out |= {(g, i): (k + 1, len(order)) for k, (_, i) in enumerate(order)}
+    return out
+
+
+def test_ranks_of_hot_and_small_groups(spark):
     rnd = random.Random(11)
     # one hot group with most rows, several small ones
     data = [(0, i, float(rnd.randint(0, 50))) for i in range(3000)]
     data += [(g, i, float(rnd.randint(0, 50))) for g in range(1, 5) for i in range(rnd.randint(1, 30))]
     df = spark.createDataFrame(data, SCHEMA).repartition(7)
-    order = [F.col("x"), F.col("id")]
-    a = {(r["g"], r["id"]): (r["rank"], r["group_size"])
-         for r in group_rank(df, ["g"], order, groups_small=True, method="sort").collect()}
-    b = {(r["g"], r["id"]): (r["rank"], r["group_size"])
-         for r in group_rank(df, ["g"], order, groups_small=True, method="window").collect()}
-    assert a == b and len(a) == len(data)
+    ranked = [group_rank(df, ["g"], [F.col("x"), F.col("id")]),
+              class_rank(range_tagged(df, [F.col("g"), F.col("id")]), ["g"], "x", "id")]
+    for r in ranked:
+        assert {(r["g"], r["id"]): (r["rank"], r["group_size"]) for r in r.collect()} == _ranked_by_hand(data)
 
 
 def test_sort_rank_reads_checkpoint(spark):
     """The sort path ranks from a checkpointed, range-sorted frame; the only
     window runs over the small (group, partition) span table."""
     df = spark.createDataFrame([(0, i, float(i % 13)) for i in range(500)], SCHEMA)
-    plan = group_rank(df, ["g"], [F.col("x"), F.col("id")], groups_small=True, method="sort")
+    plan = group_rank(df, ["g"], [F.col("x"), F.col("id")])
     text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "Scan ExistingRDD" in text and "BroadcastHashJoin" in text
+    assert "Scan ExistingRDD" in text and "Join" in text
     assert sorted(r["rank"] for r in plan.collect()) == list(range(1, 501))
 
 
-def test_rank_method(spark):
-    df = spark.createDataFrame([(1, i, 0.0) for i in range(10)] + [(2, 0, 0.0)], SCHEMA)
-    assert largest_group(df, ["g"]) == 10
-    assert rank_method(df, ["g"], max_rows=10) == "window"
-    assert rank_method(df, ["g"], max_rows=9) == "sort"
-
-
 def test_quantile_edges_methods_agree(spark):
     data = _series(21)
     df = spark.createDataFrame(data, SCHEMA)
     res = {}
-    for m in ("count", "window", "sort"):
+    for m in ("count", "sort"):
         res[m] = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r)
-                        for r in quantile_edges(df, ["g"], "x", method=m, groups_small=True).collect())
-    assert res["count"] == res["window"] == res["sort"]
+                        for r in quantile_edges(df, ["g"], "x", method=m).collect())
+    assert res["count"] == res["sort"]
     pdf = pd.DataFrame(data, columns=["g", "id", "x"])
     q = pdf.groupby("g")["x"].quantile([0, .25, .5, .75, 1]).unstack()
     for r in res["count"]:

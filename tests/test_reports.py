@@ -290,16 +290,28 @@ def test_misc_small_reports(spark):
     assert isinstance(D(1), Decimal)
 
 
-def test_rfm_sort_path_equals_window_path(spark):
-    from conftest import SF
-
-    from storelens.sources import tables_from_tpch
-    t = tables_from_tpch(spark, SF)
-    cols = ["storeid", "customerid", "recency", "frequency", "monetary", "r_score", "f_score", "m_score",
-            "rfm_score", "segment"]
-    window = sorted(rows(customers.rfm_scores(t, 2000), *cols))
-    sort = sorted(rows(customers.rfm_scores(t, 2000, window_max_rows=0), *cols))
-    assert window == sort and len(window) > 20
+def test_null_prices(spark):
+    """An order whose items all have null prices: its store-year and its customer stay, valued as pandas sums."""
+    products = [(10, "Pizza", "Classic", 1, None), (11, "Salad", "Side", 1, D(5))]
+    orders = [(1, 1, 1, "2021-01-01 00:00:00", 1, 10), (2, 2, 1, "2022-01-01 00:00:00", 1, 10),
+              (3, 3, 1, "2022-01-02 00:00:00", 1, 10), (4, 4, 1, "2022-01-03 00:00:00", 1, 10)]
+    t = make_tables(spark, orders=orders, items=[(1, 10), (2, 10), (3, 11), (4, 11)], products=products)
+    assert rows(stores.store_year_revenue(t).orderBy("year"), "year", "revenue") == [(2021, None), (2022, D(10))]
+    assert rows(stores.store_scatter(t), "year", "revenue", "order_count") == [(2021, None, 1), (2022, D(10), 3)]
+    scores = {r.customerid: r for r in customers.rfm_scores(t, 2022).collect()}
+    assert scores[2].monetary == 0 and scores[2].m_score == 4 and scores[2].rfm_score is not None
+
+
+def test_share_of_a_zero_year(spark):
+    free = [(10, "Pizza", "Classic", 1, D(0)), (11, "Salad", "Side", 1, D(5))]
+    orders = [(1, 1, 1, "2021-01-01 00:00:00", 1, 10), (2, 2, 1, "2022-01-01 00:00:00", 1, 10)]
+    t = make_tables(spark, orders=orders, items=[(1, 10), (2, 11)], products=free)
+    assert rows(products.revenue_share_by_product(t, [2021, 2022]), "order_year", "share") == [(2021, None), (2022, 1.0)]
+
+
+def test_monetary_table_shows_money(spark):
+    t = make_tables(spark, orders=[(1, 1, 1, "2022-01-01 00:00:00", 1, 10)], items=[(1, 10)])
+    assert rows(customers.rfm_monetary_table(t, 2022), "segment", "monetary_label")[:2] == [(1, "$10.00"), (2, "$0.00")]
 
 
 def test_h12_null_sales_rank_first_when_descending(spark):
