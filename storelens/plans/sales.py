@@ -129,17 +129,17 @@ def kpi_avg_store_revenue_per_year(t: ShopTables, years: Sequence[int] = (2021,
 
 
 def kpi_summary(t: ShopTables, y0: int = 2021, y1: int = 2022, n_stores: int | None = None,
-                mode: str = "reference") -> DataFrame:
+                mode: str = "reference", missing_year: int = 0) -> DataFrame:
     """Q15: one row of headline figures and their change from ``y0`` to ``y1``.
 
     Three aggregates read the orders: one by (store, year), folded into a
     struct of all revenue figures; the new-customer counts by customer (a
     struct of both years); the median by store over the items of ``y1``. A
-    year without orders counts as 0 revenue; a change against a zero base is
+    year without orders counts as ``missing_year`` (the dashboard used 1); a change against a zero base is
     null, except new customers, where it is 0.
     """
     y0, y1 = int(y0), int(y1)
-    zero = F.lit(0).cast("decimal(22,2)")
+    zero = F.lit(int(missing_year)).cast("decimal(22,2)")
     total = F.col("total")
     year = F.year("orderdate")
     per_store = t.orders.groupBy("storeid").agg(
@@ -170,9 +170,9 @@ def kpi_summary(t: ShopTables, y0: int = 2021, y1: int = 2022, n_stores: int | N
 
 
 def kpi_cards(t: ShopTables, y0: int = 2021, y1: int = 2022, n_stores: int | None = None,
-              mode: str = "reference") -> DataFrame:
+              mode: str = "reference", missing_year: int = 0) -> DataFrame:
     """Q37: the summary as four display strings."""
-    s = kpi_summary(t, y0, y1, n_stores, mode)
+    s = kpi_summary(t, y0, y1, n_stores, mode, missing_year)
     y1 = int(y1)
     return s.select(
         F.concat(F.col(f"new_customers_{y1}").cast("string"), F.lit(" ("),

@@ -106,6 +106,8 @@ def test_h7_zero_base_and_summary(spark):
     cards = sales.kpi_cards(t, 2021, 2022).first()
     assert cards["new_customers_card"] == "2 (0.00%)"
     assert cards["total_revenue_card"] == "$0.00 Mio (n/a)"
+    as_one = sales.kpi_summary(t, 2021, 2022, missing_year=1).first()  # the dashboard's stand-in for a missing year
+    assert as_one["total_revenue_change"] == pytest.approx(39900.0)
 
 
 def test_summary_changes(spark):
