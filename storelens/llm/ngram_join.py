@@ -6,20 +6,24 @@ has a bound that proves it cannot link, or that both are in one component
 already.
 
 1. Documents with equal sets become one set (``sid``).
-2. Sets that share one of two MinHash values are compared with the smallest set
-   id of that value: cheap links that join groups of near copies early.
-3. Prefix index: tokens are ordered by how often they repeat (rare first); two
+2. Prefix index: tokens are ordered by how often they repeat (rare first); two
    sets with an overlap of o share at least l of their first |set| - o + l
-   tokens. Only tokens that several sets have stay.
+   tokens. Only tokens that several sets have stay. A set that has s of them in
+   its prefix of p tokens overlaps any other in at most s + |set| - p tokens,
+   which rules out most sets at once.
+3. Sets left that share one of three MinHash values are compared with the set of
+   that value that has the fewest tokens of its own: cheap links that join groups
+   of near copies early.
 4. Signature trees: the sets of one component are the leaves of nodes of some
    ``NODE`` sets that hold the OR of their token bitmaps and their range of
    sizes. Node pairs of different components that share enough prefix tokens are
-   traversed together: first the node summaries alone, and, where the largest
+   traversed together, if their shared prefix tokens and what lies behind the
+   prefixes can make up the overlap: first the node summaries alone, and, where the largest
    possible overlap is enough, the halves and finally the sets. A node pair ends
    at its first link, as both sides are connected in themselves.
 5. Connected components of all links.
 
-Scale: a group of near copies is one component after step 2, so later steps see
+Scale: a group of near copies is one component after step 3, so later steps see
 its nodes, not its pairs; tokens of a common passage come last in the order and
 so into few prefixes. Document texts are never shuffled; token sets are, and only
 those of sets that take part in a comparison. The order of tokens comes from the
@@ -43,7 +47,7 @@ from pyspark.sql import functions as F
 
 from storelens.llm.common import checkpointed, table
 from storelens.llm.graph import components
-from storelens.llm.textops import U, mix, shingle_set, text_groups
+from storelens.llm.textops import U, group_shingles, mix, text_groups
 
 LEVEL_BITS = 20             #: buckets of the table of token frequencies: 2^20
 NODE = 64                   #: sets of a tree node, about
@@ -51,13 +55,24 @@ FILTER_BITS = 1 << 27
 SLACK = 32                  #: prefixes are longer by 1/32 of the set, so that pairs must share more than one token
 PACK = 6                    #: bytes of a token in a shipped set
 
-_SEEDS = (U(0x243F6A8885A308D3), U(0x13198A2E03707344))
+_SEEDS = (U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0))
 
 
-def set_id(tokens: np.ndarray) -> int:
-    """64-bit id of a set, the same for equal sets."""
-    h = mix(np.array([np.add.reduce(mix(tokens)) + U(len(tokens))], U))
-    return int(h.view(np.int64)[0])
+def set_ids(sets: list[np.ndarray]) -> np.ndarray:
+    """64-bit ids of non-empty sets, the same for equal sets."""
+    size = np.array([len(s) for s in sets])
+    total = np.add.reduceat(mix(np.concatenate(sets)), np.concatenate(([0], np.cumsum(size)[:-1])))
+    return mix(total + size.astype(U)).view(np.int64)
+
+
+def prefix(size: int | np.ndarray, pct: int) -> np.ndarray:
+    """Length of the prefix of a set of this size."""
+    return np.minimum(np.asarray(size), np.asarray(size) - needed(size, pct) + shared_least(size))
+
+
+def overlap_needed(size_a, size_b, pct: int):
+    """The least overlap with which sets of these sizes link."""
+    return -(-pct * (np.asarray(size_a) + size_b) // (100 + pct))
 
 
 def needed(size: int | np.ndarray, pct: int) -> np.ndarray:
@@ -77,39 +92,40 @@ def links(overlap, size_a, size_b, pct: int):
 
 def _describe(docs: DataFrame, words: int) -> DataFrame:
     """Rows of kind 0: a document's size, set id and MinHash values; of kind 1: a token that repeats in a task's sets."""
-    names = ["kind", "doc_id", "n", "sid", "m1", "m2", "token", "times"]
+    names = ["kind", "doc_id", "n", "sid", "m1", "m2", "m3", "token", "times"]
 
     def run(batches):
         held, size, known = [], 0, set()
 
         def repeats():
-            key, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U), np.zeros(0, int))
+            key, n = np.unique(np.concatenate(held), return_counts=True)
             key, n = key[n > 1].view(np.int64), n[n > 1]
-            none = pa.nulls(len(key), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), none, none, none, none, none,
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), *[pa.nulls(len(key), pa.int64())] * 6,
                                                pa.array(key), pa.array(n.astype(np.int64))], names)
 
         for b in batches:
             ids = b.column(0)
             for first, texts in text_groups(b.column(1)):
-                n, sid, m1, m2 = [], [], [], []
-                for t in texts:
-                    s = shingle_set(t, words)
-                    n.append(len(s))
-                    if not len(s):
-                        sid.append(None), m1.append(None), m2.append(None)
-                        continue
-                    sid.append(set_id(s))
-                    m1.append(int(mix(s ^ _SEEDS[0]).min().view(np.int64)))
-                    m2.append(int(mix(s ^ _SEEDS[1]).min().view(np.int64)))
-                    if sid[-1] not in known:
-                        known.add(sid[-1])
-                        held.append(s)
-                        size += len(s)
+                sets = group_shingles(texts, words)
+                n = np.array([len(s) for s in sets])
+                some = np.flatnonzero(n)
+                cols = np.zeros((4, len(n)), np.int64)
+                if len(some):
+                    full = [sets[k] for k in some]
+                    start = np.concatenate(([0], np.cumsum(n[some])[:-1]))
+                    every = np.concatenate(full)
+                    cols[0, some] = set_ids(full)
+                    for j, seed in enumerate(_SEEDS):
+                        cols[j + 1, some] = np.minimum.reduceat(mix(every ^ seed), start).view(np.int64)
+                    for sid, s in zip(cols[0, some].tolist(), full):
+                        if sid not in known:
+                            known.add(sid)
+                            held.append(s)
+                            size += len(s)
                 none = pa.nulls(len(n), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(n), np.int32)), ids.slice(first, len(n)), pa.array(n, pa.int64()),
-                     pa.array(sid, pa.int64()), pa.array(m1, pa.int64()), pa.array(m2, pa.int64()), none, none], names)
+                    [pa.array(np.zeros(len(n), np.int32)), ids.slice(first, len(n)), pa.array(n),
+                     *[pa.array(c, mask=n == 0) for c in cols], none, none], names)
                 if size > 1 << 22:
                     yield repeats()
                     held, size = [], 0
@@ -117,17 +133,16 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
             yield repeats()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "kind int, doc_id long, n long, sid long, m1 long, m2 long, token long, times long")
+        run, "kind int, doc_id long, n long, sid long, m1 long, m2 long, m3 long, token long, times long")
 
 
 def _frequency_levels(repeats: DataFrame) -> np.ndarray:
     """Level (log2 of the count, 0: rare) per bucket of tokens: a table of 2^LEVEL_BITS bytes."""
     bucket = F.shiftrightunsigned("token", 64 - LEVEL_BITS).cast("int")
     rows = (repeats.groupBy("token").agg(F.sum("times").alias("n")).where("n >= 4")
-            .groupBy(bucket.alias("b")).agg(F.max(F.floor(F.log2("n"))).cast("int").alias("level")).collect())
+            .groupBy(bucket.alias("b")).agg(F.max(F.floor(F.log2("n"))).cast("int").alias("level")).toArrow())
     out = np.zeros(1 << LEVEL_BITS, np.uint8)
-    for r in rows:
-        out[r.b] = r.level
+    out[rows["b"].to_numpy()] = rows["level"].to_numpy()
     return out
 
 
@@ -139,21 +154,22 @@ def _index(docs: DataFrame, levels: np.ndarray, words: int, pct: int) -> DataFra
         known = set()
         for b in batches:
             for _, texts in text_groups(b.column(0)):
+                sets = [s for s in group_shingles(texts, words) if len(s)]
+                if not sets:
+                    continue
                 tokens, sids, sizes = [], [], []
-                for t in texts:
-                    s = shingle_set(t, words)
-                    if not len(s):
-                        continue
-                    sid = set_id(s)
+                level = shared.value[(np.concatenate(sets) >> U(64 - LEVEL_BITS)).astype(np.int64)]
+                at = 0
+                for s, sid in zip(sets, set_ids(sets).tolist()):
+                    own, at = level[at:at + len(s)], at + len(s)
                     if sid in known:
                         continue
                     known.add(sid)
-                    level = shared.value[(s >> U(64 - LEVEL_BITS)).astype(np.int64)]
-                    p = len(s) - int(needed(len(s), pct)) + int(shared_least(len(s)))
-                    order = np.argsort(level, kind="stable")[:min(p, len(s))]  # s is sorted: ties by token
-                    tokens.append(s[order])
-                    sids.append(np.full(len(order), sid, np.int64))
-                    sizes.append(np.full(len(order), len(s), np.int32))
+                    p = int(prefix(len(s), pct))
+                    # s is sorted: equal levels stay in token order
+                    tokens.append(s[np.argsort(own, kind="stable")[:p]] if own[:p].any() else s[:p])
+                    sids.append(np.full(p, sid, np.int64))
+                    sizes.append(np.full(p, len(s), np.int32))
                 if tokens:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array((np.concatenate(tokens) >> U(16)).view(np.int64)), pa.array(np.concatenate(sids)),
@@ -195,27 +211,38 @@ def _shared_rows(c: list[np.ndarray]):
         yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(sid[keep]), pa.array(n[keep])], ["token", "sid", "n"])
 
 
-def _node_pairs(c: list[np.ndarray]):
-    """Pairs of nodes of different components that share a token, one row per token and pair."""
-    token, node, root = c
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-    token, node, root = token[new], node[new], root[new]
-    edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
-    out, held = [], 0
-    for s, e in zip(edge[:-1], edge[1:]):
-        if e - s < 2 or (root[s:e] == root[s]).all():
-            continue
-        for k in range(s, e - 1):  # a node with those after it: node ids ascend in a run
-            other = np.flatnonzero(root[k + 1:e] != root[k]) + k + 1
-            if len(other):
-                out.append((np.full(len(other), node[k]), node[other]))
-                held += len(other)
-        if held > 100_000:
+def _node_pairs(pct: int):
+    """A function over runs: pairs of nodes of different components that share a token and may still link.
+
+    Rows: token, node, root, a member's size and the most it can overlap with any set.
+    """
+    def fn(c: list[np.ndarray]):
+        token, node, root, n, most = c
+        at = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1]))))
+        low, high, most = (f.reduceat(x, at) for f, x in ((np.minimum, n), (np.maximum, n), (np.maximum, most)))
+        token, node, root = token[at], node[at], root[at]
+        edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
+        out, held = [], 0
+        for s, e in zip(edge[:-1], edge[1:]):
+            if e - s < 2 or (root[s:e] == root[s]).all():
+                continue
+            # a node that cannot reach the overlap even with the smallest partner here has no link by this token
+            own = np.arange(s, e)
+            own = own[most[own] >= overlap_needed(low[own], np.maximum(low[own].min(), needed(low[own], pct)), pct)]
+            for k in range(len(own) - 1):  # a node with those after it: node ids ascend in a run
+                i, j = own[k], own[k + 1:]
+                ok = ((root[j] != root[i]) & (100 * high[j] >= pct * low[i]) & (100 * high[i] >= pct * low[j])
+                      & (np.minimum(most[j], most[i]) >= overlap_needed(low[j], low[i], pct)))
+                if ok.any():
+                    j = j[ok]
+                    out.append((np.full(len(j), node[i]), node[j]))
+                    held += len(j)
+            if held > 100_000:
+                yield _pair_batch(out)
+                out, held = [], 0
+        if out:
             yield _pair_batch(out)
-            out, held = [], 0
-    if out:
-        yield _pair_batch(out)
+    return fn
 
 
 def _pair_batch(out: list) -> pa.RecordBatch:
@@ -266,11 +293,8 @@ def _token_sets(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
         for b in batches:
             for _, texts in text_groups(b.column(0)):
                 got = []
-                for t in texts:
-                    s = shingle_set(t, words)
-                    if not len(s):
-                        continue
-                    sid = set_id(s)
+                sets = [s for s in group_shingles(texts, words) if len(s)]
+                for s, sid in zip(sets, set_ids(sets).tolist() if sets else []):
                     at = sid % (8 * len(bits))
                     if sid in known or not bits[at >> 3] >> (at & 7) & 1:
                         continue
@@ -436,15 +460,23 @@ def jaccard_components(docs: DataFrame, words: int = 5, pct: int = 75) -> DataFr
     """doc_id, n_shingles and component_id for every row of (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     described = checkpointed(_describe(docs, words))
-    rows = described.where("kind = 0").select("doc_id", "n", "sid", "m1", "m2")
+    rows = described.where("kind = 0").select("doc_id", "n", "sid", "m1", "m2", "m3")
     levels = _frequency_levels(described.where("kind = 1"))
-    sets = rows.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("m1").alias("m1"), F.first("m2").alias("m2"))
+    sets = rows.where("sid is not null").groupBy("sid").agg(*[F.first(f"m{k}").alias(f"m{k}") for k in (1, 2, 3)])
 
-    # early links: each set with the smallest set id that has the same MinHash value
-    either = sets.select("sid", "n", F.explode(F.array(F.struct(F.lit(1).alias("k"), F.col("m1").alias("m")),
-                                                       F.struct(F.lit(2).alias("k"), F.col("m2").alias("m")))).alias("v"))
-    either = either.select("sid", "n", "v.k", "v.m")
-    center = either.groupBy("k", "m").agg(F.min(F.struct("sid", "n")).alias("c"), F.count(F.lit(1)).alias("of")).where("of > 1")
+    # the prefix index, and what each set can overlap with any other at most
+    index = checkpointed(_index(docs, levels, words, pct))
+    p = F.col("n") - F.ceil(F.col("n") * pct / 100) + F.floor(F.col("n") / SLACK) + 1
+    rest = F.greatest(F.col("n") - p, F.lit(0)).cast("long")
+    own = index.groupBy("sid").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("s"))
+    able = checkpointed(own.withColumn("most", F.col("s") + rest).where(F.col("most") >= F.ceil(F.col("n") * pct / 100)))
+
+    # early links: each set with the least edited one that has the same MinHash value
+    seeds = sets.select("sid", "m1", "m2", "m3").join(able, "sid")
+    either = seeds.select("sid", "n", (F.least(p, F.col("n")) - F.col("s")).alias("alone"), F.explode(F.array(*[
+        F.struct(F.lit(k).alias("k"), F.col(f"m{k}").alias("m")) for k in (1, 2, 3)])).alias("v"))
+    either = checkpointed(either.select("sid", "n", "alone", "v.k", "v.m"))
+    center = either.groupBy("k", "m").agg(F.min(F.struct("alone", "sid", "n")).alias("c"), F.count(F.lit(1)).alias("of")).where("of > 1")
     stars = (either.join(center, ["k", "m"]).where("sid <> c.sid")
              .where((F.col("n") * 100 >= F.col("c.n") * pct) & (F.col("c.n") * 100 >= F.col("n") * pct))
              .select(F.col("sid").alias("a"), F.col("c.sid").alias("b")).distinct())
@@ -454,30 +486,28 @@ def jaccard_components(docs: DataFrame, words: int = 5, pct: int = 75) -> DataFr
     early = checkpointed(_verify(stars, near, pct))
     joined = components(early)
 
-    # complete search: prefix index over nodes of the components so far
-    index = checkpointed(_index(docs, levels, words, pct))
+    # complete search over the nodes of the components so far
     size = joined.groupBy("root").agg(F.count(F.lit(1)).alias("of"))
     part = F.pmod(F.xxhash64("sid"), F.expr(f"cast(ceil(of / {NODE}) as bigint)"))
-    member = checkpointed(joined.withColumnRenamed("node", "sid").join(size, "root").select(
-        "sid", "root", F.when(F.col("of") <= NODE, F.col("root")).otherwise(F.xxhash64("root", part)).alias("node")))
-    placed = index.join(member, "sid", "left").select(
-        "token", F.coalesce("node", "sid").alias("node"), F.coalesce("root", "sid").alias("root"))
-    pairs = _runs(placed, ["token", "node", "root"], "node", "a long, b long, n long", _node_pairs)
+    member = joined.withColumnRenamed("node", "sid").join(size, "root").select(
+        "sid", "root", F.when(F.col("of") <= NODE, F.col("root")).otherwise(F.xxhash64("root", part)).alias("node"))
+    at_node = checkpointed(able.join(member, "sid", "left").select(
+        "sid", "n", "most", F.coalesce("node", "sid").alias("node"), F.coalesce("root", "sid").alias("root")))
+    placed = index.select("token", "sid").join(at_node, "sid").select("token", "node", "root", "n", "most")
+    pairs = _runs(placed, ["token", "node", "root", "n", "most"], "node", "a long, b long, n long", _node_pairs(pct))
     pairs = checkpointed(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")))
-    # sizes of the nodes in pairs, and their sets
-    at_node = sets.select("sid", "n").join(member, "sid", "left").select(
-        "sid", "n", F.coalesce("node", "sid").alias("node"), F.coalesce("root", "sid").alias("root"))
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    at_node = checkpointed(at_node.join(used, "node"))
-    span = at_node.groupBy("node").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    # overlap <= shared prefix tokens + what lies behind the prefix of either
+    span = at_node.groupBy("node").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(rest).alias("rest"))
     lo = lambda s: F.least(*[F.floor(F.col(f"{x}.low") / SLACK) + 1 for x in s])
+    least = F.ceil((F.col("x.low") + F.col("y.low")) * pct / (100 + pct))
     pairs = (pairs.join(span.alias("x"), F.col("a") == F.col("x.node")).join(span.alias("y"), F.col("b") == F.col("y.node"))
-             .where((F.col("n") >= lo("xy")) & (F.col("x.high") * 100 >= F.col("y.low") * pct)
-                    & (F.col("y.high") * 100 >= F.col("x.low") * pct)).select("a", "b"))
+             .where(F.col("n") >= lo("xy")).where(F.col("n") + F.greatest("x.rest", "y.rest") >= least)
+             .where((F.col("x.high") * 100 >= F.col("y.low") * pct) & (F.col("y.high") * 100 >= F.col("x.low") * pct))
+             .select("a", "b"))
     pairs = checkpointed(pairs)
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    at_node = at_node.join(used, "node")
-    packed = _token_sets(docs, checkpointed(at_node.select("sid")), words).select("sid", "tokens")
+    at_node = at_node.select("sid", "node", "root").join(used, "node")
+    packed = _token_sets(docs, checkpointed(at_node.select("sid")), words).select("sid", "n", "tokens")
     nodes = checkpointed(packed.join(at_node, "sid").groupBy("node").agg(
         F.first("root").alias("root"), F.max("n").alias("high"), F.collect_list("tokens").alias("sets")))
     pairs = checkpointed(_survivors(pairs, checkpointed(_summaries(nodes)), pct))

@@ -92,7 +92,7 @@ def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
     return np.unique(chain(w, n) if len(w) >= n else mix(chain(w, len(w)) + U(len(w))))
 
 
-def text_groups(texts, limit: int = 1 << 22):
+def text_groups(texts, limit: int = 1 << 20):
     """Consecutive texts of an Arrow array as (first row, list of str or None), about ``limit`` characters each."""
     first, held, size = 0, [], 0
     for k, t in enumerate(texts):
@@ -104,3 +104,35 @@ def text_groups(texts, limit: int = 1 << 22):
             first, held, size = k + 1, [], 0
     if held:
         yield first, held
+
+
+def group_words(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of many texts, one after another, and each text's number of words: as ``lower_words``, at once."""
+    raw = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
+    joined = b"\n".join(raw)
+    if not joined:
+        return np.zeros(0, U), np.zeros(len(texts), np.int64)
+    w = Words(joined)
+    ends = np.cumsum([len(r) + 1 for r in raw])  # a text's words start before its end
+    upto = np.searchsorted(w.start, ends)
+    return w.hashes(), np.diff(np.concatenate(([0], upto)))
+
+
+def group_shingles(texts: list, n: int = 5) -> list[np.ndarray]:
+    """``shingle_set`` of many texts at once."""
+    w, count = group_words(texts)
+    first = np.concatenate(([0], np.cumsum(count)))
+    runs = chain(w, n)
+    out = []
+    for k, c in enumerate(count.tolist()):
+        a = int(first[k])
+        if c >= n:
+            h = np.sort(runs[a:a + c - n + 1])
+            if len(h) > 1:
+                new = h[1:] != h[:-1]
+                if not new.all():
+                    h = h[np.concatenate(([True], new))]
+        else:
+            h = mix(chain(w[a:a + c], c) + U(c)) if c else w[:0]
+        out.append(h)
+    return out
