@@ -5,10 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system that holds ``path``, and its Path class."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    return hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
 def write_report(df: DataFrame, path: str, partition_by: Sequence[str] = (),
                  mode: str = "overwrite", fmt: str = "parquet") -> str:
     """Write ``df`` to ``path`` (Parquet by default), optionally partitioned.
@@ -30,8 +36,7 @@ def write_report(df: DataFrame, path: str, partition_by: Sequence[str] = (),
     folder, _, name = root.rpartition("/")
     new, old = (f"{folder}/.{name}-{kind}-{tag}" if folder else f".{name}-{kind}-{tag}" for kind in ("new", "old"))
     write(new, "errorifexists")
-    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(root).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    fs, hadoop = file_system(df.sparkSession, root)
     before = fs.exists(hadoop(root))
     if before and not fs.rename(hadoop(root), hadoop(old)):
         raise OSError(f"cannot replace {path}")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from storelens.plans import sales
 from storelens.session import ensure_checkpoint_dir
-from storelens.sources.sinks import write_report
+from storelens.sources.sinks import file_system, write_report
 from storelens.sources.tables import ShopTables
 
 # Fixed value: the lifetime of a cached answer.
@@ -59,10 +59,11 @@ def refresh_sales(spark: SparkSession, orders_dir: str, tables: Callable[[DataFr
                   schema: StructType | None = None) -> StreamingQuery:
     """Start a streaming query that keeps ``{out_root}/{report}`` of the sales reports fresh, incrementally.
 
-    ``reports`` maps names of :data:`SALES_REPORTS` to their parameters. Each
-    batch's sums go to ``{out_root}/_sums/batch=<id>``, overwritten if the batch
-    is repeated after a failure, so no order counts twice. Other parameters as in
-    :func:`refresh_reports`.
+    ``reports`` maps names of :data:`SALES_REPORTS` to their parameters. A batch
+    adds its sums to those up to the batch before it and writes them to
+    ``{out_root}/_sums/<id>``; a batch repeated after a failure starts from the
+    same folder, so no order counts twice. The last two folders are kept: one
+    row per store and month each. Other parameters as in :func:`refresh_reports`.
     """
     reports = reports or {name: {} for name in SALES_REPORTS}
     if set(reports) - set(SALES_REPORTS):
@@ -72,8 +73,18 @@ def refresh_sales(spark: SparkSession, orders_dir: str, tables: Callable[[DataFr
     root = out_root.rstrip("/")
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        month_sums(batch).write.mode("overwrite").parquet(f"{root}/_sums/batch={batch_id}")
-        bundle = tables(month_sums(spark.read.parquet(f"{root}/_sums").drop("batch")))
+        sums = month_sums(batch)
+        fs, hadoop = file_system(spark, root)
+        folder = hadoop(f"{root}/_sums")
+        known = [int(f.getPath().getName()) for f in (fs.listStatus(folder) if fs.exists(folder) else [])]
+        before = max((k for k in known if k < batch_id), default=None)
+        if before is not None:
+            sums = month_sums(sums.unionByName(spark.read.parquet(f"{root}/_sums/{before}")))
+        sums.write.mode("overwrite").parquet(f"{root}/_sums/{batch_id}")
+        for k in known:
+            if before is not None and k < before:
+                fs.delete(hadoop(f"{root}/_sums/{k}"), True)
+        bundle = tables(spark.read.parquet(f"{root}/_sums/{batch_id}"))
         for name, params in reports.items():
             write_report(getattr(sales, name)(bundle, **params), f"{root}/{name}")
 

@@ -46,15 +46,16 @@ def test_refresh_reports_follows_new_files(spark):
 def test_refresh_sales_adds_each_batch_once(spark, tmp_path):
     from storelens.streaming import refresh_sales
     t = tables_from_tpch(spark, SF)
-    cut = F.col("orderdate") < F.lit("1998-01-15").cast("timestamp_ntz")
+    day = F.datediff(F.col("orderdate").cast("date"), F.lit("1998-01-15").cast("date"))
     want = {"top_stores": sales.top_stores(t, [1997, 1998, 1999]), "kpi_total_revenue": sales.kpi_total_revenue(t),
             "store_monthly_revenue": sales.store_monthly_revenue(t), "sales_map": sales.sales_map(t, 1998)}
     params = {"top_stores": {"years": [1997, 1998, 1999]}, "kpi_total_revenue": {}, "store_monthly_revenue": {},
               "sales_map": {"year": 1998}}
-    for part in (t.orders.where(cut), t.orders.where(~cut)):
-        part.write.mode("append").parquet(f"{tmp_path}/orders")
+    for part in (day < 0, (day >= 0) & (day < 400), (day >= 400) & (day < 500), day >= 500):
+        t.orders.where(part).write.mode("append").parquet(f"{tmp_path}/orders")
         refresh_sales(spark, f"{tmp_path}/orders", t.with_orders, f"{tmp_path}/out", params,
                       checkpoint_location=f"{tmp_path}/ckpt", available_now=True).awaitTermination(600)
+    assert len(os.listdir(f"{tmp_path}/out/_sums")) == 2
     for name, df in want.items():
         got = read_report(spark, f"{tmp_path}/out/{name}")
         assert sorted(map(tuple, got.select(*df.columns).collect())) == sorted(map(tuple, df.collect())), name
