@@ -10,7 +10,9 @@ already.
    sets with an overlap of o share at least l of their first |set| - o + l
    tokens. Only tokens that several sets have stay. A set that has s of them in
    its prefix of p tokens overlaps any other in at most s + |set| - p tokens,
-   which rules out most sets at once.
+   which rules out most sets at once. Two sets that must share c prefix tokens
+   are paired only at tokens that both have c of from there on: their first
+   common token is one.
 3. Sets left that share one of three MinHash values are compared with the set of
    that value that has the fewest tokens of its own: cheap links that join groups
    of near copies early.
@@ -42,7 +44,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storelens.llm.common import checkpointed, table
@@ -50,7 +52,7 @@ from storelens.llm.graph import components
 from storelens.llm.textops import U, group_shingles, mix, text_groups
 
 LEVEL_BITS = 20             #: buckets of the table of token frequencies: 2^20
-NODE = 64                   #: sets of a tree node, about
+NODE = 128                  #: sets of a tree node, about
 FILTER_BITS = 1 << 27
 SLACK = 32                  #: prefixes are longer by 1/32 of the set, so that pairs must share more than one token
 PACK = 6                    #: bytes of a token in a shipped set
@@ -147,7 +149,7 @@ def _frequency_levels(repeats: DataFrame) -> np.ndarray:
 
 
 def _index(docs: DataFrame, levels: np.ndarray, words: int, pct: int) -> DataFrame:
-    """(token, sid, n): prefix tokens that at least two sets have."""
+    """(token, sid, n, pos): prefix tokens that at least two sets have, and their places in the order of the set."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def prefixes(batches):
@@ -157,7 +159,7 @@ def _index(docs: DataFrame, levels: np.ndarray, words: int, pct: int) -> DataFra
                 sets = [s for s in group_shingles(texts, words) if len(s)]
                 if not sets:
                     continue
-                tokens, sids, sizes = [], [], []
+                tokens, sids, at_size = [], [], []
                 level = shared.value[(np.concatenate(sets) >> U(64 - LEVEL_BITS)).astype(np.int64)]
                 at = 0
                 for s, sid in zip(sets, set_ids(sets).tolist()):
@@ -169,14 +171,15 @@ def _index(docs: DataFrame, levels: np.ndarray, words: int, pct: int) -> DataFra
                     # s is sorted: equal levels stay in token order
                     tokens.append(s[np.argsort(own, kind="stable")[:p]] if own[:p].any() else s[:p])
                     sids.append(np.full(p, sid, np.int64))
-                    sizes.append(np.full(p, len(s), np.int32))
+                    at_size.append(np.arange(p) + (len(s) << 32))  # place and size in one number
                 if tokens:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array((np.concatenate(tokens) >> U(16)).view(np.int64)), pa.array(np.concatenate(sids)),
-                         pa.array(np.concatenate(sizes))], ["token", "sid", "n"])
+                         pa.array(np.concatenate(at_size))], ["token", "sid", "np"])
 
-    rows = docs.select("text").mapInArrow(prefixes, "token long, sid long, n int")
-    return _runs(rows, ["token", "sid", "n"], "sid", "token long, sid long, n int", _shared_rows)
+    rows = docs.select("text").mapInArrow(prefixes, "token long, sid long, np long")
+    rows = _runs(rows, ["token", "sid", "np"], "sid", "token long, sid long, np long", _shared_rows)
+    return rows.select("token", "sid", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"))
 
 
 def _runs(rows: DataFrame, cols: list[str], member: str, schema: str, fn) -> DataFrame:
@@ -201,43 +204,47 @@ def _runs(rows: DataFrame, cols: list[str], member: str, schema: str, fn) -> Dat
 
 
 def _shared_rows(c: list[np.ndarray]):
-    token, sid, n = c
+    token, sid, place = c
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
-    token, sid, n = token[new], sid[new], n[new]
+    token, sid, place = token[new], sid[new], place[new]
     same = token[1:] == token[:-1]
     keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
     if keep.any():
-        yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(sid[keep]), pa.array(n[keep])], ["token", "sid", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(sid[keep]), pa.array(place[keep])], ["token", "sid", "np"])
+
+
+def prefix_shared(low_a, low_b, rest_a, rest_b, pct: int):
+    """How many prefix tokens two nodes of these smallest sizes must share to link, ``rest`` being behind the prefixes."""
+    least = np.minimum(shared_least(low_a), shared_least(low_b))
+    return np.maximum(least, overlap_needed(low_a, low_b, pct) - np.maximum(rest_a, rest_b))
 
 
 def _node_pairs(pct: int):
     """A function over runs: pairs of nodes of different components that share a token and may still link.
 
-    Rows: token, node, root, a member's size and the most it can overlap with any set.
+    Rows: token, node, root, and of a member its size, the tokens behind its
+    prefix and how many shared tokens its prefix has from this one on.
     """
     def fn(c: list[np.ndarray]):
-        token, node, root, n, most = c
+        token, node, root, n, rest, ahead = c
         at = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1]))))
-        low, high, most = (f.reduceat(x, at) for f, x in ((np.minimum, n), (np.maximum, n), (np.maximum, most)))
+        low, high, rest, ahead = (f.reduceat(x, at) for f, x in ((np.minimum, n), (np.maximum, n), (np.maximum, rest), (np.maximum, ahead)))
         token, node, root = token[at], node[at], root[at]
         edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
         out, held = [], 0
         for s, e in zip(edge[:-1], edge[1:]):
             if e - s < 2 or (root[s:e] == root[s]).all():
                 continue
-            # a node that cannot reach the overlap even with the smallest partner here has no link by this token
-            own = np.arange(s, e)
-            own = own[most[own] >= overlap_needed(low[own], np.maximum(low[own].min(), needed(low[own], pct)), pct)]
-            for k in range(len(own) - 1):  # a node with those after it: node ids ascend in a run
-                i, j = own[k], own[k + 1:]
+            for i in range(s, e - 1):  # a node with those after it: node ids ascend in a run
+                j = slice(i + 1, e)
                 ok = ((root[j] != root[i]) & (100 * high[j] >= pct * low[i]) & (100 * high[i] >= pct * low[j])
-                      & (np.minimum(most[j], most[i]) >= overlap_needed(low[j], low[i], pct)))
+                      & (np.minimum(ahead[j], ahead[i]) >= prefix_shared(low[j], low[i], rest[j], rest[i], pct)))
                 if ok.any():
-                    j = j[ok]
-                    out.append((np.full(len(j), node[i]), node[j]))
-                    held += len(j)
-            if held > 100_000:
+                    other = node[j][ok]
+                    out.append((np.full(len(other), node[i]), other))
+                    held += len(other)
+            if held > 1_000_000:
                 yield _pair_batch(out)
                 out, held = [], 0
         if out:
@@ -246,13 +253,31 @@ def _node_pairs(pct: int):
 
 
 def _pair_batch(out: list) -> pa.RecordBatch:
-    """Distinct pairs with the number of tokens they share here."""
-    a, b = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-    n = np.diff(np.concatenate((at, [len(a)])))
-    return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+    """Distinct pairs."""
+    pairs = np.unique(np.stack([np.concatenate([x[k] for x in out]) for k in (0, 1)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+
+def _enough_shared(pairs: DataFrame, lists: DataFrame, pct: int) -> DataFrame:
+    """The (a, b) node pairs that share as many prefix tokens as a link of theirs must.
+
+    lists: (node, low, high, rest, tokens), tokens being the shared prefix tokens of the node's sets.
+    """
+    def run(batches):
+        for b in batches:
+            c = {k: b.column(k) for k in range(2, 8)}
+            low, high, rest = ([c[k].to_numpy() for k in ks] for ks in ((2, 3), (4, 5), (6, 7)))
+            must = prefix_shared(*low, *rest, pct)
+            size = (100 * high[0] >= pct * low[1]) & (100 * high[1] >= pct * low[0])
+            keep = [ok and len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)) >= m
+                    for ok, x, y, m in zip(size.tolist(), b.column(8), b.column(9), must.tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    cols = ["low", "high", "rest", "tokens"]
+    a = lists.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in cols])
+    b = lists.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in cols])
+    rows = pairs.join(a, "a").join(b, "b").select("a", "b", *[f"{c}_{s}" for c in cols for s in "ab"])
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _bit_filter(keys: DataFrame) -> np.ndarray:
@@ -469,7 +494,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, pct: int = 75) -> DataFr
     p = F.col("n") - F.ceil(F.col("n") * pct / 100) + F.floor(F.col("n") / SLACK) + 1
     rest = F.greatest(F.col("n") - p, F.lit(0)).cast("long")
     own = index.groupBy("sid").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("s"))
-    able = checkpointed(own.withColumn("most", F.col("s") + rest).where(F.col("most") >= F.ceil(F.col("n") * pct / 100)))
+    able = checkpointed(own.withColumn("rest", rest).where(F.col("s") + rest >= F.ceil(F.col("n") * pct / 100)))
 
     # early links: each set with the least edited one that has the same MinHash value
     seeds = sets.select("sid", "m1", "m2", "m3").join(able, "sid")
@@ -492,20 +517,20 @@ def jaccard_components(docs: DataFrame, words: int = 5, pct: int = 75) -> DataFr
     member = joined.withColumnRenamed("node", "sid").join(size, "root").select(
         "sid", "root", F.when(F.col("of") <= NODE, F.col("root")).otherwise(F.xxhash64("root", part)).alias("node"))
     at_node = checkpointed(able.join(member, "sid", "left").select(
-        "sid", "n", "most", F.coalesce("node", "sid").alias("node"), F.coalesce("root", "sid").alias("root")))
-    placed = index.select("token", "sid").join(at_node, "sid").select("token", "node", "root", "n", "most")
-    pairs = _runs(placed, ["token", "node", "root", "n", "most"], "node", "a long, b long, n long", _node_pairs(pct))
-    pairs = checkpointed(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")))
-    # overlap <= shared prefix tokens + what lies behind the prefix of either
-    span = at_node.groupBy("node").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(rest).alias("rest"))
-    lo = lambda s: F.least(*[F.floor(F.col(f"{x}.low") / SLACK) + 1 for x in s])
-    least = F.ceil((F.col("x.low") + F.col("y.low")) * pct / (100 + pct))
-    pairs = (pairs.join(span.alias("x"), F.col("a") == F.col("x.node")).join(span.alias("y"), F.col("b") == F.col("y.node"))
-             .where(F.col("n") >= lo("xy")).where(F.col("n") + F.greatest("x.rest", "y.rest") >= least)
-             .where((F.col("x.high") * 100 >= F.col("y.low") * pct) & (F.col("y.high") * 100 >= F.col("x.low") * pct))
-             .select("a", "b"))
+        "sid", "n", "s", "rest", F.coalesce("node", "sid").alias("node"), F.coalesce("root", "sid").alias("root")))
+    # a set's shared prefix tokens from each one on, in the order of the set: a set's tokens are few
+    ahead = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("pos"))).cast("long")
+    placed = (index.join(at_node.drop("n"), "sid").withColumn("ahead", ahead)
+              .select("token", "node", "root", F.col("n").cast("long").alias("n"), "rest", "ahead"))
+    cols = placed.columns
+    pairs = _runs(placed, cols, "node", "a long, b long", _node_pairs(pct)).distinct()
     pairs = checkpointed(pairs)
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    lists = (index.join(at_node.drop("n"), "sid").join(used, "node", "left_semi").groupBy("node").agg(
+        F.min("n").cast("long").alias("low"), F.max("n").cast("long").alias("high"), F.max("rest").alias("rest"),
+        F.array_sort(F.collect_set("token")).alias("tokens")))
+    pairs = checkpointed(_enough_shared(pairs, checkpointed(lists), pct))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     at_node = at_node.select("sid", "node", "root").join(used, "node")
     packed = _token_sets(docs, checkpointed(at_node.select("sid")), words).select("sid", "n", "tokens")
     nodes = checkpointed(packed.join(at_node, "sid").groupBy("node").agg(
