@@ -72,6 +72,7 @@ def map_text(df: DataFrame, schema: str, fn: Callable[[pa.Array], list], keep: l
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i in range(len(keep))] + [c if isinstance(c, pa.Array) else pa.array(c) for c in cols],
                 [*keep, *names])
+            pa.default_memory_pool().release_unused()
 
     return df.select(*cols_in).mapInArrow(run, out)
 

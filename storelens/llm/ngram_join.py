@@ -128,7 +128,7 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(len(n), np.int32)), ids.slice(first, len(n)), pa.array(n),
                      *[pa.array(c, mask=n == 0) for c in cols], none, none], names)
-                if size > 1 << 22:
+                if size > 1 << 21:
                     yield repeats()
                     held, size = [], 0
         if held:
@@ -339,12 +339,19 @@ def _pack(tokens: np.ndarray) -> bytes:
     return np.ascontiguousarray(tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :PACK]).tobytes()
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // PACK, 8), np.uint8)
-    out[:, :PACK] = np.frombuffer(raw, np.uint8).reshape(-1, PACK)
+def _unpack(raw: bytes | pa.Buffer) -> np.ndarray:
+    flat = np.frombuffer(raw, np.uint8)
+    out = np.zeros((len(flat) // PACK, 8), np.uint8)
+    out[:, :PACK] = flat.reshape(-1, PACK)
     return out.view(">u8").ravel().astype(U)
 
 
+def _rows(batch: pa.RecordBatch):
+    """The rows of a batch as dicts, one at a time: wide rows are not held twice."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     at = np.minimum(np.searchsorted(b, a), len(b) - 1)
     return int((b[at] == a).sum())
@@ -354,8 +361,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """The (a, b) pairs of set ids that link."""
     def run(batches):
         for b in batches:
-            hit = [links(_overlap(_unpack(x), _unpack(y)), len(x) // PACK, len(y) // PACK, pct)
-                   for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            hit = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = _unpack(x.as_buffer()), _unpack(y.as_buffer())
+                hit.append(bool(links(_overlap(x, y), len(x), len(y), pct)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
@@ -421,9 +430,9 @@ def _summaries(nodes: DataFrame) -> DataFrame:
     """(node, low, high, most, bits): a node's size range, largest set and OR bitmap; bitmaps of one width per node."""
     def run(batches):
         for b in batches:
-            for node, high, packed in zip(*[b.column(k).to_pylist() for k in range(3)]):
-                x = Node.of(packed, _width(high))
-                yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([x.low], pa.int64()), pa.array([x.high], pa.int64()),
+            for r in _rows(b):
+                x = Node.of(r["sets"], _width(r["high"]))
+                yield pa.RecordBatch.from_arrays([pa.array([r["node"]]), pa.array([x.low], pa.int64()), pa.array([x.high], pa.int64()),
                                                   pa.array([len(x.sets)], pa.int64()),
                                                   pa.array([np.packbits(x.mask, bitorder="little").tobytes()])],
                                                  ["node", "low", "high", "members", "mask"])
@@ -442,8 +451,8 @@ def _survivors(pairs: DataFrame, summaries: DataFrame, pct: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows, keep = b.to_pylist(), []
-            for r in rows:
+            keep = []
+            for r in _rows(b):
                 if r["ha"] * 100 < pct * r["lb"] or r["hb"] * 100 < pct * r["la"]:
                     keep.append(False)
                     continue
@@ -469,7 +478,7 @@ def _traverse(pairs: DataFrame, nodes: DataFrame, pct: int) -> DataFrame:
     """(a, b) set ids, one of each node of a pair that links."""
     def run(batches):
         for b in batches:
-            for r in b.to_pylist():
+            for r in _rows(b):
                 bits = _width(max(r["ha"], r["hb"]))
                 if first_link(Node.of(r["sa"], bits), Node.of(r["sb"], bits), pct):
                     yield pa.RecordBatch.from_arrays([pa.array([r["ra"]]), pa.array([r["rb"]])], ["a", "b"])

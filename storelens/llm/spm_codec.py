@@ -254,7 +254,8 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spm_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: ids of every document; the text is dropped once it decodes from them."""
-    encoded = spm_encode(docs, keep=("doc_id", "lang", "source", "text"))
+    # a smaller memo than alone: the workers also hold what the stages before have loaded
+    encoded = spm_encode(docs, keep=("doc_id", "lang", "source", "text"), memo_size=100_000)
     same = F.col("decoded") == F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " ")
     return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
                           same.alias("round_trip"))
