@@ -50,6 +50,19 @@ def labelled_sample(docs: DataFrame, keys: DataFrame, cls: Column, per_class: in
                     F.col("_cls").alias("cls")))
 
 
+def _pieces(batch: pa.RecordBatch, at: int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about ``limit`` bytes of text each, one row at least."""
+    if not batch.num_rows:
+        return
+    size = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(at)])
+    start = 0
+    while start < batch.num_rows:
+        done = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, done + limit, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def map_text(df: DataFrame, schema: str, fn: Callable[[pa.Array], list], keep: list[str],
              text_col: str = "text") -> DataFrame:
     """``keep`` columns plus the columns that ``fn(texts)`` returns, batch by batch.
@@ -65,13 +78,12 @@ def map_text(df: DataFrame, schema: str, fn: Callable[[pa.Array], list], keep: l
     at = cols_in.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = fn(b.column(at))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(i) for i in range(len(keep))] + [c if isinstance(c, pa.Array) else pa.array(c) for c in cols],
-                [*keep, *names])
+        for whole in batches:
+            for b in _pieces(whole, at):
+                cols = fn(b.column(at))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(i) for i in range(len(keep))] + [c if isinstance(c, pa.Array) else pa.array(c) for c in cols],
+                    [*keep, *names])
             pa.default_memory_pool().release_unused()
 
     return df.select(*cols_in).mapInArrow(run, out)

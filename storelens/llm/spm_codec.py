@@ -24,6 +24,7 @@ from collections.abc import Callable
 from operator import itemgetter
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -222,9 +223,13 @@ def spm_encode(docs: DataFrame, model_file: str | None = None, keep: tuple[str,
 
     def fn(texts: pa.Array) -> list:
         c = codec(model, memo_size)
-        got = [c.code(t) for t in texts.to_pylist()]
-        return [pa.array([[int(x) for x in g[0].split()] for g in got], pa.list_(pa.int32())),
-                pa.array([g[1] for g in got], pa.string())]
+        ids, back = [], []
+        for t in texts:
+            joined, text = c.code(t.as_py())
+            ids.append(np.fromstring(joined, np.int32, sep=" "))
+            back.append(text)
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids))), pa.array(back, pa.string())]
 
     return map_text(docs, "ids array<int>, decoded string", fn, list(keep), text_col)
 
