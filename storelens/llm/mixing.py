@@ -7,13 +7,17 @@ multiplier ``a`` of every source solves the convex dual; safeguarded Newton
 steps find all of them at once, each step one aggregate over the histogram of
 (source, size). Sums are exact decimals, so reruns agree bit for bit.
 
-Rates become copies per cell of equal source and size: cells are rounded from
-large to small sizes, each carrying on the words the cells before it took too
-few or too many. Inside a cell the documents of lowest hash get the odd copies.
-
-Bounds: the tables of sources and cells are aggregates; cells above
-``CARRY_SIZE`` words are rounded alone, so the carried list of a source has at
-most that many entries. A cell that holds a large part of all rows is ranked in
+Rates become copies per cell of equal source and size, from large to small
+sizes. Above ``CARRY_SIZE`` words the running sum of a source's copies is
+rounded, so the copies down to any size are within half a copy of the rates and
+their words within half of the source's largest document; at ``CARRY_SIZE`` and
+below, each cell carries on the words the cells before it took too few or too
+many. Inside a cell the documents of lowest hash get the odd copies.
+
+Bounds: the tables of sources and cells are aggregates; the carried list of a
+source has at most ``CARRY_SIZE`` entries. Running sums go over blocks of
+``BLOCK_SIZES`` sizes first and then inside each block: a text under 2^31 bytes
+has at most 2^30 words, so a window orders at most 2^15 rows. A cell that holds a large part of all rows is ranked in
 1,024 hash buckets. Documents' texts never enter a shuffle.
 
 Defined results: a null text has size 0; a null source is a source of its own,
@@ -31,6 +35,7 @@ from storelens.llm.common import checkpointed, table
 WEIGHTS = (5, 2, 1)     #: repeating over the sources in code point order
 MAX_RATE = 3
 CARRY_SIZE = 4096
+BLOCK_SIZES = 1 << 15
 NEWTON_STEPS = 60
 TOLERANCE = 1e-9
 WORD = r"[^\x20\x09-\x0D]+"
@@ -109,14 +114,31 @@ def solve_rates(cells: DataFrame, goal: DataFrame) -> DataFrame:
     return goal
 
 
+def _round_running(rated: DataFrame) -> DataFrame:
+    """(source, size, n, rate) plus copies: rounded running sums of n * rate, from large to small sizes of each source."""
+    want = F.least(F.col("n") * F.col("rate"), (F.col("n") * MAX_RATE).cast("double"))
+    parts = (rated.withColumn("whole", F.floor(want)).withColumn("block", F.floor(F.col("size") / BLOCK_SIZES))
+             .withColumn("part", (want - F.col("whole")).cast("decimal(18,9)")))
+    by_block = Window.partitionBy("source").orderBy(F.col("block").desc())
+    blocks = parts.groupBy("source", "block").agg(F.sum("part").alias("part"))
+    blocks = blocks.select("source", "block", (F.sum("part").over(by_block) - F.col("part")).alias("before"))
+    same = F.col("c.source").eqNullSafe(F.col("g.source")) & (F.col("c.block") == F.col("g.block"))
+    inside = Window.partitionBy("source", "block").orderBy(F.col("size").desc())
+    # copies up to the cell, less those up to the cell before: the cell's whole copies and one more or not
+    return (parts.alias("c").join(blocks.alias("g"), same).select("c.*", "before")
+            .withColumn("upto", F.col("before") + F.sum("part").over(inside))
+            .withColumn("copies", (F.col("whole") + F.floor(F.col("upto") + F.lit(0.5).cast("decimal(2,1)"))
+                                   - F.floor(F.col("upto") - F.col("part") + F.lit(0.5).cast("decimal(2,1)"))).cast("long"))
+            .select("source", "size", "n", "rate", "copies"))
+
+
 def copies_per_cell(cells: DataFrame, goal: DataFrame) -> DataFrame:
     """(source, size, n, rate) -> copies: whole numbers whose words come near each source's target."""
     same = F.col("c.source").eqNullSafe(F.col("g.source"))
     rate = F.when(F.col("full"), float(MAX_RATE)).otherwise(
         F.least(F.exp(F.least(F.col("a") * F.col("size") / F.col("mean"), F.lit(60.0))), F.lit(float(MAX_RATE))))
     rated = cells.alias("c").join(goal.alias("g"), same).select("c.source", "size", "n", rate.alias("rate"))
-    large = rated.where(F.col("size") > CARRY_SIZE).withColumn(
-        "copies", F.least(F.round(F.col("n") * F.col("rate")), F.col("n") * MAX_RATE).cast("long"))
+    large = _round_running(rated.where(F.col("size") > CARRY_SIZE))
     left = large.groupBy("source").agg(
         _exact(F.col("size") * (F.col("n") * F.col("rate") - F.col("copies"))).alias("left"))
     lists = rated.where(F.col("size") <= CARRY_SIZE).groupBy("source").agg(

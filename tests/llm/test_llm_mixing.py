@@ -55,6 +55,22 @@ def test_rates_are_exponentially_tilted(spark):
     assert math.isclose(math.exp(solved["b"].a), 2.5, rel_tol=1e-7)
 
 
+@pytest.mark.parametrize("block", [1 << 15, 64])
+def test_sources_of_long_documents_meet_their_targets(spark, monkeypatch, block):
+    """Within half of the largest document, also with a narrow range of sizes and without any small documents."""
+    monkeypatch.setattr(mixing, "BLOCK_SIZES", block)
+    sizes = {s: [4100 + k * 49 // 10 for k in range(1000)] for s in ("0.4", "0.6", "1.4")} | {
+        "0.3": [5000 + k for k in range(50)], "0.49": [70_000 + k for k in range(300)], None: [40_000, 50_000, 60_000]}
+    cells = spark.createDataFrame([(s, z, 1) for s, zs in sizes.items() for z in zs], "source string, size long, n long")
+    want = {s: float(s or 2.2) * sum(zs) for s, zs in sizes.items()}
+    goal = spark.createDataFrame([(s, sum(zs), want[s]) for s, zs in sizes.items()],
+                                 "source string, source_size long, target double")
+    got = mixing.copies_per_cell(cells, mixing.solve_rates(cells, goal)).collect()
+    assert len(got) == sum(map(len, sizes.values())) and all(0 <= r.copies <= 3 for r in got)
+    for s, zs in sizes.items():
+        assert abs(sum(r.copies * r["size"] for r in got if r.source == s) - want[s]) <= max(zs) / 2 + 1, s
+
+
 @pytest.mark.parametrize("sizes", [{"a": 100}, {"a": 1000, "b": 1, "c": 1, None: 5}, {"a": 0, "b": 7, "": 9}])
 def test_targets(spark, sizes):
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
