@@ -224,7 +224,7 @@ def test_dates_and_text(spark):
 
 
 def test_in_years_reaches_parquet(spark):
-    from conftest import SF
+    from shop_fixtures import SF
     o = spark.read.parquet(f"{SF}/orders.parquet").where(in_years("o_orderdate", [1996, 1997, 1999]))
     plan = o._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import SF
+from shop_fixtures import SF
 
 import __spark_entry__ as entry
 from storelens.check import compare

@@ -5,7 +5,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pytest
-from conftest import D, make_tables, rows
+from shop_fixtures import D, make_tables, rows
 from pyspark.sql import functions as F
 
 from storelens.plans import customers, products, sales, stores

@@ -6,7 +6,7 @@ import os
 import tempfile
 
 import pytest
-from conftest import SF, D, make_tables
+from shop_fixtures import SF, D, make_tables
 from pyspark.sql import functions as F
 
 from storelens.plans import sales

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from conftest import SF
+from shop_fixtures import SF
 from pyspark.sql import functions as F
 
 from storelens.plans import sales
