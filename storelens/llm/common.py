@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from storelens.session import ensure_checkpoint_dir
 
@@ -70,7 +71,7 @@ def map_text(df: DataFrame, schema: str, fn: Callable[[pa.Array], list], keep: l
     ``fn`` gets a string array (nulls kept) and returns one list, array or
     numpy array per column of ``schema``.
     """
-    names = [p.strip().split()[0] for p in schema.split(",")]
+    names = StructType.fromDDL(schema).names
     fields = [df.schema[c] for c in keep]
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [schema])
 
