@@ -281,8 +281,9 @@ def _written(rng: np.random.Generator, words: list[str]) -> tuple[int, str]:
         return 2, sep.join([d[:4], d[4:8], d[8:12], d[12:]])
     if sort in (3, 4):
         a, b, c = n(3), n(3), n(4)
-        return 3, pick(f"+1 ({a}) {b}-{c}", f"+{pick(33, 34, 49, 44)} {n(2)} {n(7)}", f"({a}) {b}-{c}", f"{a}-{b}-{c}",
-                       f"{a}.{b}.{c}", f"00{pick(33, 34, 49)} {n(2)} {n(7)}", f"({a}) {b} {c}")
+        joint = pick("-", ".", " ")
+        return 3, pick(f"+1 ({a}) {b}-{c}", f"+{pick(33, 34, 49, 44)} {n(2)} {n(7)}", f"({a}) {b}{joint}{c}",
+                       f"{a}{joint}{b}{joint}{c}", f"{a}{joint}{b}{joint}{c}", f"00{pick(33, 34, 49)} {n(2)} {n(7)}")
     y, m, d = str(rng.integers(1900, 2040)), f"{rng.integers(1, 13):02d}", f"{rng.integers(1, 29):02d}"
     hexes = "".join("0123456789abcdef"[x] for x in rng.integers(0, 16, 24))
     return -1, pick(f"{y}-{m}-{d}", f"{d}.{m}.{y}", f"{m}/{d}/{y}", y, f"{m}:{d}", f"${n(1)},{n(3)}.{n(2)}", f"{n(2)}.{n(1)}.{n(1)}",
@@ -391,8 +392,11 @@ def digest(spans: str = "spans") -> list:
     """The count and digest columns of a spans column."""
     def joined(c):
         return F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter(spans, lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
     base = F.filter(spans, lambda s: s["base"])
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [count(k) for k in KINDS]
     return [*counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans")]
 
 
