@@ -1,8 +1,11 @@
 """Reusable DataFrame operators shared by the reports."""
 
 from storelens.operators.densify import densify, pct_change  # noqa: F401
+from storelens.operators.distinct import (  # noqa: F401
+    distinct_counts, distinct_state, merge_distinct, state_counts)
 from storelens.operators.joins import fits_broadcast, join_dim  # noqa: F401
 from storelens.operators.quantiles import (  # noqa: F401
     bin_of_edges, boxplot_stats, edges_from_ranks, lower_median, qcut_rank, qcut_value,
     quantile_edges, rank_bin)
 from storelens.operators.ranking import class_rank, group_rank, range_tagged, top_k  # noqa: F401
+from storelens.operators.selection import bracketed_quantiles, select_ranks  # noqa: F401

@@ -6,8 +6,11 @@ rule of ``numpy.quantile`` / ``pandas.qcut``). Two ways to get them:
 * ``method="count"`` — Spark's ``percentile`` aggregate. Its buffer is a
   value→count map per group, so memory grows with the number of *distinct*
   values in a group: right for small domains (day counts, item counts).
-* ``method="sort"`` — order statistics from :func:`group_rank`: right for
-  continuous values (money); every group spreads over many partitions.
+* ``method="sort"`` — order statistics from :func:`group_rank`: every group
+  spreads over many partitions of a range sort.
+* ``method="bracket"`` — :func:`storelens.operators.selection.bracketed_quantiles`:
+  a sketch brackets each quantile and one more pass finds it; right for
+  continuous values (money), without a sort of all rows.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.operators.ranking import group_rank
+from storelens.operators.selection import bracketed_quantiles, select_ranks
 
 
 def _fractions(n: int) -> list[float]:
@@ -37,8 +41,11 @@ def quantile_edges(df: DataFrame, by: Sequence[str], x: str, n: int = 4, *,
     if method == "count":
         q = vals.groupBy(*by).agg(F.percentile(F.col(x).cast("double"), _fractions(n)).alias("_q"))
         return q.select(*by, *[F.col("_q")[k].alias(f"{prefix}{k}") for k in range(n + 1)])
+    if method == "bracket":
+        q = bracketed_quantiles(vals, by, x, _fractions(n))
+        return q.select(*by, *[F.col("_q")[k].alias(f"{prefix}{k}") for k in range(n + 1)])
     if method != "sort":
-        raise ValueError(f"method must be 'count' or 'sort', not {method!r}")
+        raise ValueError(f"method must be 'count', 'sort' or 'bracket', not {method!r}")
     tie_cols = [F.col(c) for c in tie] or [F.xxhash64(*[F.col(f"`{c}`") for c in vals.columns])]
     ranked = group_rank(vals, by, [F.col(x), *tie_cols], rank="_r", size="_N")
     return edges_from_ranks(ranked, by, x, "_r", "_N", n, prefix)
@@ -135,26 +142,40 @@ def qcut_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: st
     return ranked.withColumn(out, b.cast("int")).drop("_r", "_N")
 
 
-def lower_median(df: DataFrame, by: Sequence[str], x: str, out: str = "median") -> DataFrame:
+def lower_median(df: DataFrame, by: Sequence[str], x: str, out: str = "median", method: str = "disc") -> DataFrame:
     """Element ``(N + 1) div 2`` of the sorted values per group (the lower median).
 
-    One task holds a group's distinct values: for groups of bounded size, such
-    as one value per store.
+    ``method="disc"``: Spark's ``percentile_disc``, whose task holds a group's
+    distinct values: for groups of bounded size. ``method="radix"``: digit counts
+    (:func:`storelens.operators.selection.select_ranks`), for any number of values;
+    a whole table without values gives one null row, as the aggregate does.
     """
+    if method == "radix":
+        found = select_ranks(df, by, x, {out: F.expr("(size + 1) div 2")})
+        return found if by else found.agg(F.max(out).alias(out))
+    if method != "disc":
+        raise ValueError(f"method must be 'disc' or 'radix', not {method!r}")
     med = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{x}`)")
     return df.groupBy(*by).agg(med.alias(out))
 
 
-def boxplot_stats(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
+def boxplot_stats(df: DataFrame, by: Sequence[str], x: str, method: str = "count") -> DataFrame:
     """min, lower_whisker, q1, median, q3, upper_whisker, max, iqr per group.
 
     Whiskers are the bounds q1 - 1.5 iqr and q3 + 1.5 iqr clamped to the data
-    range (not the nearest data points). Uses the value→count ``percentile``
-    buffer, so ``x`` should have few distinct values per group (counts).
+    range (not the nearest data points). ``method="count"`` uses the value→count
+    ``percentile`` buffer, so ``x`` should have few distinct values per group
+    (counts); ``"bracket"`` takes any values (groups without a value are absent).
     """
+    if method not in ("count", "bracket"):
+        raise ValueError(f"method must be 'count' or 'bracket', not {method!r}")
     v = F.col(x).cast("double")
-    s = df.groupBy(*by).agg(F.min(v).alias("min"), F.max(v).alias("max"),
-                            F.percentile(v, [0.25, 0.5, 0.75]).alias("_q"))
+    if method == "count":
+        s = df.groupBy(*by).agg(F.min(v).alias("min"), F.max(v).alias("max"),
+                                F.percentile(v, [0.25, 0.5, 0.75]).alias("_q"))
+    else:
+        s = bracketed_quantiles(df, by, x, [0.0, 0.25, 0.5, 0.75, 1.0], out="_e").select(
+            *by, F.col("_e")[0].alias("min"), F.col("_e")[4].alias("max"), F.slice("_e", 2, 3).alias("_q"))
     q1, med, q3 = F.col("_q")[0], F.col("_q")[1], F.col("_q")[2]
     iqr = q3 - q1
     return s.select(*by, F.col("min"),

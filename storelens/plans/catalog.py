@@ -38,6 +38,11 @@ class TestTables:
     t: ShopTables          # the five tables
     ev: ShopTables         # same dimensions, events as orders
 
+    @property
+    def twice(self) -> ShopTables:
+        """The same tables with every order delivered a second time."""
+        return self.t.with_orders(self.t.orders.unionByName(self.t.orders), repeated=True)
+
 
 def _flat_map(df: DataFrame) -> DataFrame:
     return df.select("storeid", "city", "latitude", "longitude",
@@ -64,6 +69,9 @@ REPORTS: dict[str, tuple[Callable[[TestTables], DataFrame], Callable | None]] =
     "store_year_revenue": (lambda d: stores.store_year_revenue(d.t), None),
     "store_year_revenue_item": (lambda d: stores.store_year_revenue(d.t, mode="item"), None),
     "store_year_order_count": (lambda d: stores.store_year_order_count(d.t), None),
+    "store_year_order_count_redelivered": (lambda d: stores.store_year_order_count(d.twice), None),
+    "store_scatter_redelivered": (lambda d: stores.store_scatter(d.twice), None),
+    "kpi_new_customers_redelivered": (lambda d: sales.kpi_new_customers(d.twice, *NEW_YEARS), None),
     "store_scatter": (lambda d: stores.store_scatter(d.t), None),
     "store_scatter_item": (lambda d: stores.store_scatter(d.t, mode="item"), None),
     "store_trend_item": (lambda d: stores.store_trend(d.t, mode="item"), _round({"slope", "intercept", "r2"})),

@@ -64,8 +64,8 @@ def rfm_scores(t: ShopTables, year: int = 2022, duplicates: str = "skip",
     (store, customer), which gives the ranks of frequency and rfm_score from
     counts (few distinct values, :func:`class_rank`); recency quartiles use
     Spark's exact ``percentile`` (a day-count domain), monetary quartiles a
-    distributed sort with the second checkpoint. No step puts a store in one
-    task.
+    sketch that brackets them and a second pass inside the brackets. No step puts
+    a store in one task.
     """
     values = customer_values(t if store is None else t.with_orders(store_filter(t.orders, store)), year, mode)
     values = range_tagged(values, [F.col("storeid"), F.col("customerid")])
@@ -73,8 +73,8 @@ def rfm_scores(t: ShopTables, year: int = 2022, duplicates: str = "skip",
     s = (values.where(F.col("customerid").isNotNull()).join(current, "storeid")
          .withColumn("recency", whole_days("last_order", "current_date")).drop("last_order", "current_date"))
     s = qcut_value(s, ["storeid"], "recency", "r_score", RFM_BINS, duplicates=duplicates)
-    s = qcut_value(s, ["storeid"], "monetary", "m_score", RFM_BINS, reverse=True, method="sort",
-                   duplicates=duplicates, tie=["customerid"])
+    s = qcut_value(s, ["storeid"], "monetary", "m_score", RFM_BINS, reverse=True, method="bracket",
+                   duplicates=duplicates)
     s = _binned_rank(s, "frequency", "f_score", reverse=True)
     s = s.withColumn("rfm_score", F.concat(*[F.col(c).cast("string") for c in ("r_score", "f_score", "m_score")]))
     s = _binned_rank(s, "rfm_score", "segment")

@@ -42,8 +42,9 @@ TEXT_TYPES = {
 class ShopTables:
     """Lazy DataFrames of the five tables.
 
-    Keys: ``stores.storeid``, ``customers.customerid``, ``orders.orderid`` and
-    ``products.sku`` are unique; one ``orderitems`` row is one item.
+    Keys: ``stores.storeid``, ``customers.customerid`` and ``products.sku`` are
+    unique; ``orders.orderid`` is, unless ``repeated`` holds ``"orders"``; one
+    ``orderitems`` row is one item.
     """
 
     stores: DataFrame
@@ -51,6 +52,8 @@ class ShopTables:
     orders: DataFrame
     orderitems: DataFrame
     products: DataFrame
+    #: names of tables whose key may repeat (re-delivered rows); reports then count distinct keys
+    repeated: frozenset = frozenset()
     _small: dict = field(default_factory=dict, repr=False, compare=False)
 
     @property
@@ -70,9 +73,10 @@ class ShopTables:
             self._small[name] = fits_broadcast(getattr(self, name))
         return self._small[name]
 
-    def with_orders(self, orders: DataFrame) -> "ShopTables":
-        """Same dimensions, other orders (e.g. a stream of timestamped events)."""
-        return replace(self, orders=orders, _small={})
+    def with_orders(self, orders: DataFrame, repeated: bool | None = None) -> "ShopTables":
+        """Same dimensions, other orders (e.g. a stream of timestamped events); ``repeated``: ids may occur again."""
+        marked = self.repeated if repeated is None else frozenset({"orders"} if repeated else ())
+        return replace(self, orders=orders, repeated=marked, _small={})
 
     def check(self) -> "ShopTables":
         """Raise ``ValueError`` when a table misses a column or has a wrong type."""
@@ -88,36 +92,62 @@ class ShopTables:
             raise ValueError("table schema: " + "; ".join(problems))
         return self
 
-
     def check_keys(self) -> "ShopTables":
         """Raise ``ValueError`` when a key column repeats a value (one aggregate per table).
 
-        The reports count keys instead of distinct values and rely on this.
+        Tables in ``repeated`` are exempt: the reports count their distinct keys.
         """
-        problems = []
-        for name, key in KEYS.items():
-            again = getattr(self, name).where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
-            found = [r[key] for r in again.select(key).limit(3).collect()]
-            if found:
-                problems.append(f"{name}.{key} repeats {found}")
+        problems = [f"{name}.{KEYS[name]} repeats {found}" for name, found in self._repeats().items()
+                    if name not in self.repeated]
         if problems:
             raise ValueError("table keys: " + "; ".join(problems))
         return self
 
+    def _repeats(self) -> dict[str, list]:
+        """Up to three repeated keys of each table that has any."""
+        out = {}
+        for name, key in KEYS.items():
+            again = getattr(self, name).where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
+            if found := [r[key] for r in again.select(key).limit(3).collect()]:
+                out[name] = found
+        return out
+
+    def with_keys(self, keys: str = "check") -> "ShopTables":
+        """The bundle with its keys settled as the readers' ``keys`` parameter says.
+
+        * ``"check"``: the keys are checked; repeated order ids mark the orders as
+          ``repeated`` (distinct ids are counted), repeated keys of another table
+          raise ``ValueError``, since joins would multiply rows.
+        * ``"trust"``: the source vouches for unique keys; nothing is read.
+        * ``"repeated"``: orders may be delivered more than once; nothing is read.
+        """
+        if keys not in ("check", "trust", "repeated"):
+            raise ValueError(f"keys must be 'check', 'trust' or 'repeated', not {keys!r}")
+        if keys == "trust":
+            return self
+        if keys == "repeated":
+            return replace(self, repeated=frozenset({"orders"}))
+        found = self._repeats()
+        marked = replace(self, repeated=frozenset({"orders"} & set(found)))
+        if problems := [f"{name}.{KEYS[name]} repeats {keys}" for name, keys in found.items() if name != "orders"]:
+            raise ValueError("table keys: " + "; ".join(problems))
+        return marked
+
 
 def read_tables(spark: SparkSession, path: str, fmt: str = "parquet", types: dict | None = None,
-                coerce: bool = False, **options) -> ShopTables:
+                coerce: bool = False, keys: str = "check", **options) -> ShopTables:
     """Read ``{path}/{table}`` for the five tables in any Spark file format.
 
     Formats without types (JSON, CSV) are read with an explicit schema:
     ``TEXT_TYPES``, or per column ``types={"orders": {"orderid": "bigint"}}``.
     ``coerce=True`` reads such columns as text and casts them with
     ``try_cast``, so a value that does not parse becomes null instead of
-    failing the query.
+    failing the query. ``keys``: see :meth:`ShopTables.with_keys`; the check reads
+    the key columns once.
     """
     reader = spark.read.format(fmt).options(**options)
     if fmt not in ("json", "csv"):
-        return ShopTables(**{name: reader.load(f"{path.rstrip('/')}/{name}") for name in TABLES}).check()
+        return ShopTables(**{name: reader.load(f"{path.rstrip('/')}/{name}") for name in TABLES}).check().with_keys(keys)
     frames = {}
     for name in TABLES:
         cols = TEXT_TYPES[name] | (types or {}).get(name, {})
@@ -125,7 +155,7 @@ def read_tables(spark: SparkSession, path: str, fmt: str = "parquet", types: dic
         frames[name] = reader.schema(ddl).load(f"{path.rstrip('/')}/{name}")
         if coerce:
             frames[name] = frames[name].select(*[F.col(c).try_cast(kind).alias(c) for c, kind in cols.items()])
-    return ShopTables(**frames).check()
+    return ShopTables(**frames).check().with_keys(keys)
 
 
 def write_tables(t: ShopTables, path: str, files_per_table: int | None = None,
@@ -181,9 +211,9 @@ def write_bucketed_tables(t: ShopTables, database: str, path: str, buckets: int,
     return database
 
 
-def read_catalog_tables(spark: SparkSession, database: str) -> ShopTables:
+def read_catalog_tables(spark: SparkSession, database: str, keys: str = "check") -> ShopTables:
     """The five tables of a catalog database (e.g. from :func:`write_bucketed_tables`)."""
-    return ShopTables(**{name: spark.table(f"`{database}`.`{name}`") for name in TABLES}).check()
+    return ShopTables(**{name: spark.table(f"`{database}`.`{name}`") for name in TABLES}).check().with_keys(keys)
 
 
 def jdbc_options(url: str, name: str, properties: dict | None = None, table_names: dict | None = None,
@@ -201,7 +231,7 @@ def jdbc_options(url: str, name: str, properties: dict | None = None, table_name
 
 
 def read_jdbc(spark: SparkSession, url: str, properties: dict | None = None,
-              table_names: dict | None = None, partitions: dict | None = None) -> ShopTables:
+              table_names: dict | None = None, partitions: dict | None = None, keys: str = "check") -> ShopTables:
     """Read the five tables from a relational database over JDBC.
 
     ``table_names`` maps a logical name to the database table (default: the
@@ -212,4 +242,4 @@ def read_jdbc(spark: SparkSession, url: str, properties: dict | None = None,
     """
     frames = {name: spark.read.format("jdbc").options(**jdbc_options(url, name, properties, table_names, partitions)).load()
               for name in TABLES}
-    return ShopTables(**frames).check()
+    return ShopTables(**frames).check().with_keys(keys)
