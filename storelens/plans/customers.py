@@ -67,7 +67,12 @@ def rfm_scores(t: ShopTables, year: int = 2022, duplicates: str = "skip",
     sketch that brackets them and a second pass inside the brackets. No step puts
     a store in one task.
     """
-    values = customer_values(t if store is None else t.with_orders(store_filter(t.orders, store)), year, mode)
+    return score_values(customer_values(t if store is None else t.with_orders(store_filter(t.orders, store)), year, mode),
+                        duplicates)
+
+
+def score_values(values: DataFrame, duplicates: str = "skip") -> DataFrame:
+    """The scores of :func:`rfm_scores` from the per-customer table of :func:`customer_values`."""
     values = range_tagged(values, [F.col("storeid"), F.col("customerid")])
     current = values.groupBy("storeid").agg((F.max("last_order") + F.expr("INTERVAL 1 DAY")).alias("current_date"))
     s = (values.where(F.col("customerid").isNotNull()).join(current, "storeid")
@@ -91,7 +96,11 @@ def _binned_rank(s: DataFrame, value: str, out: str, reverse: bool = False) -> D
 
 def _segments(t: ShopTables, year: int, store, duplicates: str, mode: str) -> DataFrame:
     """Customers and mean values per store and segment, all four segments of a store; unsorted."""
-    s = rfm_scores(t, year, duplicates, mode, store)
+    return segment_scores(rfm_scores(t, year, duplicates, mode, store))
+
+
+def segment_scores(s: DataFrame) -> DataFrame:
+    """Customers and mean values per store and segment from the scores; unsorted."""
     agg = s.groupBy("storeid", "segment").agg(
         F.count("customerid").alias("customer_count"), F.sum("recency").alias("_r"),
         F.sum("frequency").alias("_f"), F.sum("monetary").alias("_m"))
