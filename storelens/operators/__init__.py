@@ -1,6 +1,6 @@
 """Reusable DataFrame operators shared by the reports."""
 
-from storelens.operators.densify import densify, pct_change  # noqa: F401
+from storelens.operators.densify import densify, fill_gaps, pct_change  # noqa: F401
 from storelens.operators.distinct import (  # noqa: F401
     distinct_counts, distinct_state, merge_distinct, state_counts)
 from storelens.operators.joins import fits_broadcast, join_dim  # noqa: F401

@@ -93,6 +93,7 @@ REPORTS: dict[str, tuple[Callable[[TestTables], DataFrame], Callable | None]] =
     "store_monthly_revenue_map": (lambda d: sales.store_monthly_revenue_map(d.t), _flat_map),
     "store_monthly_filled": (lambda d: sales.store_monthly_filled(d.t, YEAR), None),
     "store_monthly_filled_store": (lambda d: sales.store_monthly_filled(d.t, YEAR, STORE), None),
+    "store_daily_filled": (lambda d: sales.store_daily_filled(d.t), None),
     "category_orders": (lambda d: products.category_orders(d.t, RANK_YEARS, NAME_PATTERN), None),
     "revenue_by_product": (lambda d: products.revenue_by_product(d.t, RANK_YEARS), None),
     "revenue_share_by_product": (lambda d: products.revenue_share_by_product(d.t, RANK_YEARS), None),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from storelens.functions.dates import in_years, month_key, month_name
 from storelens.functions.text import millions_text, money_text, percent_text, short_money
-from storelens.operators.densify import densify, pct_change
+from storelens.operators.densify import densify, fill_gaps, pct_change
 from storelens.operators.quantiles import lower_median
 from storelens.operators.ranking import top_k
 from storelens.plans.common import (known_stores, order_item_sums, order_value, store_filter,
@@ -220,6 +220,17 @@ def store_monthly_filled(t: ShopTables, year: int = 2022, store=None) -> DataFra
                          short_money("sales").alias("sales_label")).orderBy("storeid", "month")
 
 
+def store_daily_filled(t: ShopTables, store=None) -> DataFrame:
+    """Q18 by day over all years: sales per store and day, days without sales between the first and the last with 0.
+
+    The domain has a row per store and day of the shop's life, so the gaps are
+    filled from neighbouring days (:func:`storelens.operators.densify.fill_gaps`).
+    """
+    orders = known_stores(t, store_filter(t.orders, store)).where(F.col("orderdate").isNotNull())
+    per_day = orders.groupBy("storeid", F.to_date("orderdate").alias("day")).agg(F.sum("total").alias("sales"))
+    return fill_gaps(per_day, ["storeid"], "day", {"sales": 0}).orderBy("storeid", "day")
+
+
 def sales_map(t: ShopTables, year: int = 2022) -> DataFrame:
     """Q35: stores with their revenue of ``year`` (0 when none), highest first."""
     of_year = (t.orders.where(in_years("orderdate", [year]))
