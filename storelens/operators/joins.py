@@ -70,3 +70,37 @@ def join_dim(fact: DataFrame, dim: DataFrame, on: str | Sequence[str] | Column,
     if small is None:
         small = fits_broadcast(dim)
     return fact.join(F.broadcast(dim) if small else dim, on, how)
+
+
+def heavy_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
+    """Keys that hold at least ``share`` of the rows: 1 / share of them at most, none missed.
+
+    A frequent-items sketch (one pass, no shuffle of rows) names the candidates - it
+    tracks ten times as many items as can be heavy, so each of those is among them -
+    and an exact count of the candidates settles it.
+    """
+    most = int(1 / share) + 1
+    n, top = df.agg(F.count(key), F.expr(f"approx_top_k(`{key}`, {2 * most}, {20 * most})")).first()
+    found = [r.item for r in top or [] if r.item is not None]
+    if not n or not found:
+        return []
+    exact = df.where(F.col(key).isin(found)).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r[key] for r in exact.where(F.col("n") >= share * n).collect())
+
+
+def is_hot(key: str, hot: Sequence) -> Column:
+    return F.coalesce(F.col(key).isin(list(hot)), F.lit(False))
+
+
+def split_join(many: DataFrame, one: DataFrame, key: str, hot: Sequence = (), how: str = "inner") -> DataFrame:
+    """``many`` joined to ``one`` (unique ``key``), the rows of the ``hot`` keys apart from the rest.
+
+    The cold rows are joined as the tables lie - on tables bucketed by ``key``
+    without an exchange - and the hot ones, in as many tasks as their files have
+    splits, meet the few rows of ``one`` that they belong to (``len(hot)`` at most, so
+    these are broadcast). A key of any size is never one task's work.
+    """
+    if not hot:
+        return many.join(one, key, how)
+    cold = many.where(~is_hot(key, hot)).join(one.where(~is_hot(key, hot)), key, how)
+    return cold.unionByName(many.where(is_hot(key, hot)).join(F.broadcast(one.where(is_hot(key, hot))), key, how))

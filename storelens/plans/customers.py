@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.dates import in_years, whole_days
+from storelens.functions.dates import whole_days
 from storelens.operators.densify import densify
 from storelens.functions.text import money_text
 from storelens.operators.quantiles import qcut_value, rank_bin
 from storelens.operators.ranking import class_rank, range_tagged
-from storelens.plans.common import known_stores, order_item_sums, order_value, store_filter
+from storelens.plans.common import known_stores, order_value, store_filter, with_item_sums
 from storelens.sources.tables import ShopTables
 
 # Fixed value: number of score bins and segments.
@@ -31,9 +31,9 @@ def kpi_total_customers(t: ShopTables) -> DataFrame:
 def rfm_orders(t: ShopTables, year: int = 2022, mode: str = "reference") -> DataFrame:
     """Q30: orders of ``year`` at known stores that have items of known products,
     with their item value → storeid, customerid, orderid, orderdate, total_amount."""
-    orders = known_stores(t, t.orders.where(in_years("orderdate", [year]))
+    orders = known_stores(t, t.orders_in([year])
                           .select("storeid", "customerid", "orderid", "orderdate", "nitems"))
-    joined = orders.join(order_item_sums(t), "orderid")
+    joined = with_item_sums(t, orders)
     return joined.select("storeid", "customerid", "orderid", "orderdate",
                          order_value(mode).alias("total_amount"))
 

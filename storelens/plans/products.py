@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.dates import in_years
 from storelens.functions.text import short_money
-from storelens.operators.joins import join_dim
+from storelens.operators.joins import join_dim, split_join
 from storelens.operators.quantiles import boxplot_stats
 from storelens.plans.common import check_mode
 from storelens.plans.sales import RANK_YEARS
@@ -25,8 +24,8 @@ def category_orders(t: ShopTables, years: Sequence[int] = RANK_YEARS,
     per category and year → category, order_year, total_orders."""
     prods = t.products.where(F.col("name").like(pattern)).select("sku", "category")
     items = join_dim(t.orderitems, prods, "sku", small=t.is_small("products"))
-    orders = t.orders.where(in_years("orderdate", years)).select("orderid", F.year("orderdate").alias("order_year"))
-    return (items.join(orders, "orderid")
+    orders = t.orders_in(years).select("orderid", F.year("orderdate").alias("order_year"))
+    return (split_join(items, orders, "orderid", t.hot_orders)
             .groupBy("category", "order_year").agg(F.count(F.lit(1)).alias("total_orders"))
             .orderBy("order_year", F.desc_nulls_first("total_orders"), "category"))
 
@@ -37,8 +36,8 @@ def revenue_by_product(t: ShopTables, years: Sequence[int] = RANK_YEARS) -> Data
     Items are counted per (sku, year) before the product table is joined, so
     the product join sees one row per sku and year.
     """
-    orders = t.orders.where(in_years("orderdate", years)).select("orderid", F.year("orderdate").alias("order_year"))
-    per_sku = t.orderitems.join(orders, "orderid").groupBy("sku", "order_year").agg(F.count(F.lit(1)).alias("n"))
+    orders = t.orders_in(years).select("orderid", F.year("orderdate").alias("order_year"))
+    per_sku = split_join(t.orderitems, orders, "orderid", t.hot_orders).groupBy("sku", "order_year").agg(F.count(F.lit(1)).alias("n"))
     priced = join_dim(per_sku, t.products.select("sku", "name", "price"), "sku", small=t.is_small("products"))
     return (priced.groupBy("name", "order_year").agg(F.sum(F.col("n") * F.col("price")).alias("total_revenue"))
             .orderBy("order_year", F.desc_nulls_first("total_revenue"), "name"))
@@ -65,7 +64,7 @@ def product_size_sales(t: ShopTables, mode: str = "reference") -> DataFrame:
     ``'item'`` counts one unit per item row.
     """
     check_mode(mode)
-    per_sku = (t.orderitems.join(t.orders.select("orderid", "nitems"), "orderid")
+    per_sku = (split_join(t.orderitems, t.orders.select("orderid", "nitems"), "orderid", t.hot_orders)
                .groupBy("sku").agg(F.sum("nitems").alias("units_ref"), F.count(F.lit(1)).alias("units_item")))
     units = F.col("units_ref") if mode == "reference" else F.col("units_item")
     priced = join_dim(per_sku, t.products.select("sku", "name", "size", "price"), "sku",
@@ -80,7 +79,7 @@ def customer_product_counts(t: ShopTables, min_count: int = 2) -> DataFrame:
     # one narrow row per order meets the customers, not one per item
     orders = join_dim(t.orders.select("orderid", "customerid"), t.customers.select("customerid"), "customerid",
                       "left_semi", small=t.is_small("customers"))
-    per_sku = t.orderitems.join(orders, "orderid").groupBy("customerid", "sku").agg(F.count(F.lit(1)).alias("n"))
+    per_sku = split_join(t.orderitems, orders, "orderid", t.hot_orders).groupBy("customerid", "sku").agg(F.count(F.lit(1)).alias("n"))
     named = join_dim(per_sku, t.products.select("sku", "name"), "sku", small=t.is_small("products"))
     return (named.groupBy("customerid", "name").agg(F.sum("n").alias("order_count"))
             .where(F.col("order_count") >= min_count))

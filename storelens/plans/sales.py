@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.dates import in_years, month_key, month_name
+from storelens.functions.dates import month_key, month_name
 from storelens.functions.text import millions_text, money_text, percent_text, short_money
 from storelens.operators.densify import densify, fill_gaps, pct_change
 from storelens.operators.quantiles import lower_median
 from storelens.operators.ranking import top_k
-from storelens.plans.common import (known_stores, order_item_sums, order_value, store_filter,
+from storelens.plans.common import (known_stores, order_value, store_filter, with_item_sums,
                                     with_store)
 from storelens.sources.tables import ShopTables
 
@@ -23,7 +23,7 @@ RANK_YEARS = (2020, 2021, 2022)
 
 def yearly_store_sales(t: ShopTables, years: Sequence[int] = RANK_YEARS) -> DataFrame:
     """Σ total per store and year, for orders of ``years``."""
-    return (t.orders.where(in_years("orderdate", years))
+    return (t.orders_in(years)
             .groupBy("storeid", F.year("orderdate").alias("year"))
             .agg(F.sum("total").alias("annual_sales")))
 
@@ -79,8 +79,8 @@ def kpi_avg_revenue_per_store(t: ShopTables) -> DataFrame:
 
 def store_item_revenue(t: ShopTables, year: int, mode: str = "reference") -> DataFrame:
     """Σ item value per store in ``year`` (orders with items of known products)."""
-    orders = t.orders.where(in_years("orderdate", [year])).select("orderid", "storeid", "nitems")
-    joined = orders.join(order_item_sums(t), "orderid")
+    orders = t.orders_in([year]).select("orderid", "storeid", "nitems")
+    joined = with_item_sums(t, orders)
     return joined.groupBy("storeid").agg(F.sum(order_value(mode)).alias("total_revenue"))
 
 
@@ -108,7 +108,7 @@ def kpi_new_customers(t: ShopTables, y0: int = 2021, y1: int = 2022) -> DataFram
 
 def kpi_revenue_per_year(t: ShopTables, years: Sequence[int] = (2021, 2022)) -> DataFrame:
     """Q13: Σ total per year → year, total_revenue."""
-    return (t.orders.where(in_years("orderdate", years))
+    return (t.orders_in(years)
             .groupBy(F.year("orderdate").alias("year")).agg(F.sum("total").alias("total_revenue"))
             .orderBy("year"))
 
@@ -209,7 +209,7 @@ def store_monthly_revenue_map(t: ShopTables) -> DataFrame:
 def store_monthly_filled(t: ShopTables, year: int = 2022, store=None) -> DataFrame:
     """Q18: monthly sales of ``year`` per store, months between the first and
     the last month with sales filled with 0 → storeid, month, month_name, sales, sales_label."""
-    orders = known_stores(t, store_filter(t.orders, store)).where(in_years("orderdate", [year]))
+    orders = known_stores(t, store_filter(t.orders_in([year]), store))
     per_month = orders.groupBy("storeid", F.trunc(F.to_date("orderdate"), "month").alias("month_start")) \
         .agg(F.sum("total").alias("sales"))
     filled = densify(per_month, ["storeid"], "month_start",
@@ -233,7 +233,7 @@ def store_daily_filled(t: ShopTables, store=None) -> DataFrame:
 
 def sales_map(t: ShopTables, year: int = 2022) -> DataFrame:
     """Q35: stores with their revenue of ``year`` (0 when none), highest first."""
-    of_year = (t.orders.where(in_years("orderdate", [year]))
+    of_year = (t.orders_in([year])
                .groupBy("storeid").agg(F.sum("total").alias("revenue")))
     stores = with_store(t, t.orders.select("storeid").distinct())  # stores with orders in any year: one column read
     return (stores.join(of_year, "storeid", "left")

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.dates import DISPLAY_TZ, in_years, local_hour, weekday, weekday_name
+from storelens.functions.dates import DISPLAY_TZ, local_hour, weekday, weekday_name
 from storelens.functions.text import short_money
 from storelens.operators.densify import densify
 from storelens.operators.distinct import distinct_counts
-from storelens.plans.common import known_stores, order_item_sums, order_value, store_filter, with_store
+from storelens.plans.common import known_stores, order_value, store_filter, with_item_sums, with_store
 from storelens.plans.sales import RANK_YEARS
 from storelens.sources.tables import ShopTables
 
@@ -33,7 +33,7 @@ def store_ids(t: ShopTables) -> DataFrame:
 def store_year_revenue(t: ShopTables, mode: str = "reference") -> DataFrame:
     """Q6a: item revenue per store and year over orders of known stores."""
     orders = known_stores(t, t.orders.select("orderid", "storeid", "orderdate", "nitems"))
-    joined = orders.join(order_item_sums(t), "orderid")
+    joined = with_item_sums(t, orders)
     return (joined.groupBy("storeid", F.year("orderdate").alias("year"))
             .agg(F.sum(order_value(mode)).alias("revenue")))
 
@@ -61,7 +61,7 @@ def store_scatter(t: ShopTables, mode: str = "reference") -> DataFrame:
     orders; store-years without any order with items are dropped, as in Q6a.
     """
     orders = known_stores(t, t.orders.select("orderid", "storeid", "orderdate", "nitems"))
-    joined = orders.join(order_item_sums(t), "orderid", "left")
+    joined = with_item_sums(t, orders, "left")
     out = (joined.groupBy("storeid", F.year("orderdate").alias("year"))
            .agg(F.sum(order_value(mode)).alias("revenue"), F.count("orderid").alias("order_count"),
                 F.count("item_rows").alias("_with_items"))
@@ -100,7 +100,7 @@ def orders_per_hour(t: ShopTables, years: Sequence[int] = RANK_YEARS, tz: str =
 
     The year is that of the stored UTC time, the hour that of local time.
     """
-    o = t.orders.where(in_years("orderdate", years))
+    o = t.orders_in(years)
     return (o.groupBy("storeid", F.year("orderdate").alias("order_year"),
                       local_hour("orderdate", tz).alias("order_hour"))
             .agg(F.count(F.lit(1)).alias("total_orders_per_hour"))
@@ -113,7 +113,7 @@ def orders_per_hour_band(t: ShopTables, years: Sequence[int] = RANK_YEARS, store
     present store-year appears, empty ones with 0."""
     if 24 % width:
         raise ValueError("width must divide 24")
-    o = store_filter(t.orders, store).where(in_years("orderdate", years))
+    o = store_filter(t.orders_in(years), store)
     band = (F.floor(local_hour("orderdate", tz) / width) * width).cast("int")
     per_band = o.groupBy("storeid", F.year("orderdate").alias("order_year"), band.alias("band")) \
         .agg(F.count(F.lit(1)).alias("total_orders"))
@@ -127,7 +127,7 @@ def orders_per_hour_band(t: ShopTables, years: Sequence[int] = RANK_YEARS, store
 
 def revenue_per_weekday(t: ShopTables, years: Sequence[int] = RANK_YEARS) -> DataFrame:
     """Q27: revenue per store, weekday (0 = Monday) and year."""
-    o = t.orders.where(in_years("orderdate", years))
+    o = t.orders_in(years)
     return (o.groupBy("storeid", weekday("orderdate").alias("order_day_of_week"),
                       F.year("orderdate").alias("order_year"))
             .agg(F.sum("total").alias("total_revenue"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storelens.operators.joins import fits_broadcast
+from storelens.functions.dates import in_years
+from storelens.operators.joins import fits_broadcast, heavy_keys
+from storelens.sources.sinks import file_system
 
 # Column -> accepted Spark type classes. Keys may be any integral or string
 # type; money must be exact decimal; the order time is wall time in UTC
@@ -26,6 +31,8 @@ SCHEMA = {
                  "size": _KEY, "price": (T.DecimalType,)},
 }
 TABLES = tuple(SCHEMA)
+#: partition column of the monthly layout: year * 100 + month of ``orderdate`` (null: no date)
+MONTH = "order_month"
 KEYS = {"stores": "storeid", "customers": "customerid", "orders": "orderid", "products": "sku"}
 # Column types for formats that carry none.
 TEXT_TYPES = {
@@ -54,6 +61,8 @@ class ShopTables:
     products: DataFrame
     #: names of tables whose key may repeat (re-delivered rows); reports then count distinct keys
     repeated: frozenset = frozenset()
+    #: order ids that hold a large share of all order items (see :meth:`with_hot_orders`)
+    hot_orders: tuple = ()
     _small: dict = field(default_factory=dict, repr=False, compare=False)
 
     @property
@@ -78,6 +87,18 @@ class ShopTables:
         marked = self.repeated if repeated is None else frozenset({"orders"} if repeated else ())
         return replace(self, orders=orders, repeated=marked, _small={})
 
+    def with_hot_orders(self, share: float = 0.01) -> "ShopTables":
+        """The bundle with the orders that hold at least ``share`` of all items named, so that their items are added up apart."""
+        return replace(self, hot_orders=tuple(heavy_keys(self.orderitems, "orderid", share)))
+
+    def orders_in(self, years: Iterable[int]) -> DataFrame:
+        """Orders of some years: ranges of ``orderdate``, and of the layout's partition column where there is one."""
+        years = list(years)
+        rows = self.orders.where(in_years("orderdate", years))
+        if MONTH in self.orders.columns:
+            rows = rows.where(reduce(Column.__or__, [F.col(MONTH).between(int(y) * 100 + 1, int(y) * 100 + 12) for y in years], F.lit(False)))
+        return rows
+
     def check(self) -> "ShopTables":
         """Raise ``ValueError`` when a table misses a column or has a wrong type."""
         problems = []
@@ -180,6 +201,80 @@ def write_tables(t: ShopTables, path: str, files_per_table: int | None = None,
     return root
 
 
+def _by_month(orders: DataFrame, files: int | None) -> DataFrame:
+    """Orders with their month, dealt so that a task writes few months and a large month is spread over files."""
+    month = (F.year("orderdate") * 100 + F.month("orderdate")).cast("int")
+    n = files or int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (orders.withColumn(MONTH, month).repartitionByRange(n, MONTH, "orderdate", "orderid")
+            .sortWithinPartitions(MONTH, "orderdate", "orderid"))
+
+
+def write_monthly_tables(t: ShopTables, path: str, files: int | None = None, mode: str = "errorifexists") -> str:
+    """The five tables for :func:`read_tables`, orders in one folder per month.
+
+    A report of some years then lists and reads their months only (static partition
+    pruning by :meth:`ShopTables.orders_in`), and a join with a filtered table of
+    months reads the months that it keeps (dynamic pruning). ``files``: how many
+    files the orders are dealt over.
+    """
+    root = path.rstrip("/")
+    _by_month(t.orders, files).write.mode(mode).partitionBy(MONTH).parquet(f"{root}/orders")
+    write_items_and_dimensions(t, root, files, mode)
+    return root
+
+
+def write_items_and_dimensions(t: ShopTables, root: str, files: int | None, mode: str) -> None:
+    n = files or int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    t.orderitems.repartitionByRange(n, "orderid").sortWithinPartitions("orderid").write.mode(mode).parquet(f"{root}/orderitems")
+    for name in ("stores", "customers", "products"):
+        getattr(t, name).write.mode(mode).parquet(f"{root}/{name}")
+
+
+def append_orders(orders: DataFrame, path: str, files: int = 1) -> None:
+    """Add orders to the monthly layout under ``path``; every batch leaves small files, see :func:`compact_orders`."""
+    _by_month(orders, files).write.mode("append").partitionBy(MONTH).parquet(f"{path.rstrip('/')}/orders")
+
+
+def compact_orders(spark: SparkSession, path: str, file_bytes: int = 128 << 20, at_least: int = 2) -> list[str]:
+    """Rewrite the months that have many small files into files of about ``file_bytes``; returns their folders' names.
+
+    A month is rewritten when it has ``at_least`` times the files that its bytes
+    need (two at least). Its rows are sorted into a folder beside the table, which
+    then takes the month's place by two renames; readers that list the table
+    between these see the month missing, so compact while no report runs. A run
+    that ended between the renames is put right by the next: the month's rows lie in
+    ``_compacting/`` until it is in place.
+    """
+    root = f"{path.rstrip('/')}/orders"
+    fs, hadoop = file_system(spark, root)
+    work = f"{path.rstrip('/')}/_compacting"
+    if fs.exists(hadoop(work)):  # an earlier run's months: whole ones go into place, the rest is dropped
+        for kept in fs.listStatus(hadoop(work)):
+            name = kept.getPath().getName()
+            if name.startswith("old-") and not fs.exists(hadoop(f"{root}/{name[4:]}")):
+                fs.rename(kept.getPath(), hadoop(f"{root}/{name[4:]}"))
+        fs.delete(hadoop(work), True)
+    done = []
+    for folder in fs.listStatus(hadoop(root)):
+        name = folder.getPath().getName()
+        if not name.startswith(f"{MONTH}="):
+            continue
+        sizes = [f.getLen() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+        wanted = max(1, -(-sum(sizes) // file_bytes))
+        if len(sizes) < max(2, at_least * wanted):
+            continue
+        new = f"{work}/new-{uuid.uuid4().hex[:12]}"
+        (spark.read.parquet(f"{root}/{name}").repartitionByRange(wanted, "orderdate", "orderid")
+         .sortWithinPartitions("orderdate", "orderid").write.parquet(new))
+        old = f"{work}/old-{name}"
+        if not (fs.rename(folder.getPath(), hadoop(old)) and fs.rename(hadoop(new), folder.getPath())):
+            raise OSError(f"cannot replace {name}")
+        fs.delete(hadoop(old), True)
+        done.append(name)
+    fs.delete(hadoop(work), True)
+    return sorted(done)
+
+
 def write_bucketed_tables(t: ShopTables, database: str, path: str, buckets: int,
                           mode: str = "errorifexists") -> str:
     """Save the five tables as catalog tables, orders and order items bucketed by ``orderid``.
@@ -211,9 +306,14 @@ def write_bucketed_tables(t: ShopTables, database: str, path: str, buckets: int,
     return database
 
 
-def read_catalog_tables(spark: SparkSession, database: str, keys: str = "check") -> ShopTables:
-    """The five tables of a catalog database (e.g. from :func:`write_bucketed_tables`)."""
-    return ShopTables(**{name: spark.table(f"`{database}`.`{name}`") for name in TABLES}).check().with_keys(keys)
+def read_catalog_tables(spark: SparkSession, database: str, keys: str = "check", hot_share: float | None = 0.01) -> ShopTables:
+    """The five tables of a catalog database (e.g. from :func:`write_bucketed_tables`).
+
+    A bucket is one task's work, so orders that hold ``hot_share`` of all items or
+    more are named and joined apart (None: not looked for).
+    """
+    t = ShopTables(**{name: spark.table(f"`{database}`.`{name}`") for name in TABLES}).check().with_keys(keys)
+    return t if hot_share is None else t.with_hot_orders(hot_share)
 
 
 def jdbc_options(url: str, name: str, properties: dict | None = None, table_names: dict | None = None,

@@ -35,7 +35,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from storelens.plans.common import check_mode, known_stores, order_item_sums, order_value
+from storelens.plans.common import check_mode, known_stores, order_value, with_item_sums
 from storelens.plans.customers import score_values, segment_scores
 from storelens.sources.sinks import file_system, write_report
 from storelens.sources.tables import ShopTables
@@ -49,7 +49,7 @@ def valued_orders(t: ShopTables, mode: str = "reference") -> DataFrame:
     """Orders with ``value``, their item value (null without items of known products): what the refresh reads."""
     check_mode(mode)
     value = F.when(F.col("item_rows") > 0, F.coalesce(order_value(mode), F.lit(0)))
-    return (t.orders.join(order_item_sums(t), "orderid", "left")
+    return (with_item_sums(t, t.orders, "left")
             .select(*t.orders.columns, value.cast(_MONEY).alias("value")))
 
 
