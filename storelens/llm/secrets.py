@@ -129,7 +129,7 @@ def op6_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Texts with every strong and linked span replaced by ``MARK``; other texts stay as they are.
+    """Texts with every strong span replaced by ``MARK``; other texts stay as they are.
 
     Works on the strings between matches; rows keep all their columns.
     """
@@ -144,21 +144,45 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(*[clean.alias(c) if c == text_col else F.col(c) for c in cols])
 
 
+def cut_spans(text: str, spans: str) -> Column:
+    """Column ``text`` with the places of the sorted ``spans`` replaced by ``MARK``; overlapping spans are one.
+
+    Spans are taken in chunks: a chunk's stretch of text is cut out once, its
+    pieces from that stretch.
+    """
+    chunk = f"transform(sequence(0, (size({spans}) - 1) div {CHUNK}), c -> slice({spans}, c * {CHUNK} + 1, {CHUNK}))"
+    # where each chunk starts: the end of all before it
+    reach = f"""aggregate({chunk}, array(0L), (s, c) -> concat(s, array(greatest(element_at(s, -1),
+                array_max(transform(c, x -> x.end))))))"""
+    # a piece up to each span that starts behind all before it; the spans that overlap those only move on
+    pieces = f"""zip_with({chunk}, {reach}, (part, from) -> if(part is null,
+          named_struct('at', from, 'out', cast(array() as array<string>)),
+          transform(array(substring({text}, cast(from + 1 as int), cast(greatest(array_max(transform(part, x -> x.end)) - from, 0) as int))),
+            sub -> aggregate(part, named_struct('at', from, 'out', cast(array() as array<string>)), (s, x) -> named_struct(
+              'at', greatest(s.at, x.end), 'out', concat(s.out, array(if(x.start >= s.at,
+                concat(substring(sub, cast(s.at - from + 1 as int), cast(x.start - s.at as int)), '{MARK}'), ''))))))[0]))"""
+    tail = f"substring({text}, cast(array_max(transform({spans}, x -> x.end)) + 1 as int))"
+    return F.expr(f"if(size({spans}) = 0, {text}, concat(array_join(flatten(transform({pieces}, p -> p.out)), ''), {tail}))")
+
+
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: secrets are replaced in the texts; every document stays.
 
-    Linked parts are cut by their own text, strong spans by their patterns.
+    Texts without linked parts lose their strong spans by the patterns; texts with
+    linked secrets lose both by position. Identifiers and endpoints stay: alone
+    they open nothing.
     """
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
     docs = docs.select(*cols)
-    found = scan(docs).where(F.size("linked") > 0).select("doc_id", "h", "n", "linked").distinct()
+    weak = F.filter("linked", lambda x: x["kind"] == KINDS.index("weak"))
+    found = scan(docs).where(F.size(weak) > 0).select(
+        "doc_id", "h", "n", F.array_sort(F.concat("base", weak)).alias("_spans")).distinct()
     keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn(
         "_n", F.length(F.coalesce("text", F.lit(""))))
-    cut = F.expr("transform(filter(linked, l -> l.kind = 4), l -> substring(text, cast(l.start + 1 as int), cast(l.end - l.start as int)))")
     joined = (keyed.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))
                                     & (F.col("_h") == F.col("h")) & (F.col("_n") == F.col("n")), "left")
-              .select(*[F.col(f"d.{c}").alias(c) for c in cols], F.coalesce(cut, F.array().cast("array<string>")).alias("_cut")))
-    weak = F.expr(f"aggregate(_cut, text, (t, c) -> replace(t, c, '{MARK}'))")
-    changed = redact(joined.select(*[weak.alias(c) if c == "text" else F.col(c) for c in cols]))
+              .select(*[F.col(f"d.{c}").alias(c) for c in cols], "_spans"))
+    plain = redact(joined.withColumn("_whole", F.col("text")))
+    changed = plain.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut_spans("_whole", "_spans")))
     return changed.select(*[F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")).alias(c)
                             if c == "n_chars" else F.col(c) for c in cols])
