@@ -57,15 +57,39 @@ def test_nothing_to_learn(spark, edge, none):
 
 
 def test_label_model_finds_accuracies_and_correlations():
+    """From votes alone: accuracies, a repeated voter, a voter that never votes; half of the votes are missing."""
     rng = np.random.default_rng(5)
     y = rng.random(4000) < 0.3
-    vote = lambda hit, false: np.where(y, rng.random(4000) < hit, rng.random(4000) < false).astype(float)
-    a, b, c = vote(0.9, 0.05), vote(0.7, 0.1), vote(0.5, 0.5)
-    votes = np.stack([a, b, c, a], 1)  # the last repeats the first
-    post, got = toxicity.label_model(votes, np.where(rng.random(4000) < 0.2, y, np.nan), 0.3)
+
+    def vote(hit, false):
+        v = np.where(np.where(y, rng.random(4000) < hit, rng.random(4000) < false), 1, -1)
+        return v * (rng.random(4000) < 0.5)
+    a, b, c, d = vote(0.9, 0.05), vote(0.8, 0.1), vote(0.5, 0.5), vote(0.85, 0.1)
+    votes = np.stack([a, b, c, a, 0 * a, d, vote(0.9, 0.1)], 1).astype(float)
+    post, got = toxicity.label_model(votes, 0.3)
     assert abs(got["rate"][1][0] - 0.9) < 0.06 and abs(got["rate"][0][0] - 0.05) < 0.06
-    assert got["correlation"][0, 3] > 0.9 and got["share"][0] < 0.6 < got["share"][1]
+    assert abs(got["rate"][1][2] - got["rate"][0][2]) < 0.1  # the coin is seen through
+    assert got["correlation"][0, 3] > 0.9 and got["share"][0] < 0.6 < got["share"][1] and got["share"][4] == 0
     assert ((post > 0.5) == y).mean() > 0.88
+    assert np.allclose(toxicity.label_model(np.zeros((5, 3)), 0.2)[0], 0.2)
+
+
+def test_labels_are_no_votes(spark):
+    """Most mislabelled texts are put right by their votes; their labels do not reach the label model."""
+    rng = np.random.default_rng(2)
+    words = [f"wort{k}" for k in range(200)]
+    bad = "grobian schuft lump ekel flegel wicht rüpel strolch biest schurke gauner widerling".split()
+    rows = []
+    for k in range(400):
+        toxic = k % 4 == 0
+        text = " ".join([*rng.choice(words, 60), *(rng.choice(bad, 5) if toxic else [])])
+        rows.append((k, text, int(toxic)))
+    wrong = [r[0] for r in rows if r[0] % 40 == 0]  # a tenth of the toxic texts is labelled clean
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, 0 if d in wrong else t) for d, _, t in rows], "doc_id long, toxic int")
+    model = toxicity.learn_toxicity(docs, labels)
+    score = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model, ["doc_id"]).collect()}
+    assert sum(score[d] > 0.5 for d in wrong) >= 0.8 * len(wrong) and sum(score[d] > 0.5 for d, *_ in rows) <= 105
 
 
 def test_svm_separates():
