@@ -17,7 +17,8 @@ links with, and the edges of a spanning forest: never all pairs.
 Defined results: a vector that is null, empty, zero or holds a null or
 non-finite component, or whose label or vec_id is null, links with nothing
 (n_links 0, component_id = vec_id, kept true); vectors of different lengths do
-not link; a repeated row counts as another vector; extra columns are not
+not link; labels of any simple type are compared as they are, vectors of floats or
+doubles in double precision; a repeated row counts as another vector; extra columns are not
 carried over.
 """
 
@@ -28,11 +29,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storelens.llm.common import checkpointed, table
 from storelens.llm.graph import components
 
 AXES = 6            #: principal axes of the grid
+KEYED = 3           #: axes whose cells are keys of the join of blocks
 SAMPLE = 10_000     #: vectors the axes are fitted on at most
 BLOCK = 1024        #: vectors of a block at most
 LEAF = 128          #: intervals up to this size are compared outright
@@ -134,7 +137,7 @@ def _blocks(reps: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFra
             cells = np.array([h[3] for h in held], np.int32)
             seq += 1
             return pa.RecordBatch.from_arrays([
-                pa.array([(TaskContext.get().partitionId() << 32) + seq], pa.int64()), pa.array([key[0]], pa.int32()),
+                pa.array([(TaskContext.get().partitionId() << 32) + seq], pa.int64()), pa.array([key[0]], pa.string()),
                 pa.array([key[1]], pa.int32()), pa.array([cells.min(0).tolist()], pa.list_(pa.int32())),
                 pa.array([cells.max(0).tolist()], pa.list_(pa.int32())), pa.array([len(held)], pa.int32()),
                 pa.array([np.array([h[0] for h in held], np.int64).tobytes()]),
@@ -154,26 +157,32 @@ def _blocks(reps: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFra
             yield flush()
 
     located = reps.select("rid", "label", "embedding", "m").mapInArrow(
-        locate, "rid long, label int, embedding array<float>, m long, " + ", ".join(f"{c} int" for c in cell_cols))
+        locate, f"rid long, label string, embedding {reps.schema['embedding'].dataType.simpleString()}, m long, "
+        + ", ".join(f"{c} int" for c in cell_cols))
     order = [F.col("label"), F.size("embedding"), *map(F.col, cell_cols), F.col("rid")]
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (located.repartitionByRange(n, *order).sortWithinPartitions(*order)
-            .mapInArrow(pack, "block long, label int, dims int, lo array<int>, hi array<int>, n int, rid binary, "
+            .mapInArrow(pack, "block long, label string, dims int, lo array<int>, hi array<int>, n int, rid binary, "
                               "m binary, unit binary, cell binary"))
 
 
 def _pairs(blocks: DataFrame) -> DataFrame:
     """(a, b), a <= b: blocks of one label and length whose cells may hold vectors within eps.
 
-    Joined on the first axis' cells that a block covers, or touches.
+    Joined on the cells of the first ``KEYED`` axes that a block covers, or touches;
+    a pair meets at one cell only, the larger of both blocks' least cells.
     """
     head = blocks.select("block", "label", "dims", "lo", "hi")
-    a = head.withColumn("c", F.explode(F.expr("sequence(lo[0], hi[0] + 1)"))).alias("a")
-    b = head.withColumn("c", F.explode(F.expr("sequence(lo[0], hi[0] + 1)"))).alias("b")
+    keys = [f"c{k}" for k in range(KEYED)]
+    for k, c in enumerate(keys):
+        head = head.withColumn(c, F.explode(F.expr(f"sequence(lo[{k}], hi[{k}] + 1)")))
+    once = " and ".join(f"a.c{k} = greatest(a.lo[{k}], b.lo[{k}])" for k in range(KEYED))
     near = F.expr("forall(sequence(0, size(a.lo) - 1), i -> a.lo[i] <= b.hi[i] + 1 and b.lo[i] <= a.hi[i] + 1)")
-    return (a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.dims") == F.col("b.dims"))
-                   & (F.col("a.c") == F.col("b.c")) & (F.col("a.block") <= F.col("b.block")) & near)
-            .select(F.col("a.block").alias("a"), F.col("b.block").alias("b")).distinct())
+    same = F.lit(True)
+    for c in ["label", "dims", *keys]:
+        same &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    return (head.alias("a").join(head.alias("b"), same & (F.col("a.block") <= F.col("b.block")) & F.expr(once) & near)
+            .select(F.col("a.block").alias("a"), F.col("b.block").alias("b")))
 
 
 def _join_blocks(pairs: DataFrame, blocks: DataFrame, threshold: float) -> DataFrame:
@@ -218,8 +227,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     usable = F.expr("""vec_id is not null and label is not null and size(embedding) > 0
         and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))
         and exists(embedding, x -> x <> 0)""")
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("int").alias("label"),
-                          F.col("embedding").cast("array<float>").alias("embedding"))
+    # labels are compared as text, which tells values of any one type apart (0.0 and -0.0 are one label)
+    label = F.col("label")
+    if isinstance(vectors.schema["label"].dataType, (T.FloatType, T.DoubleType)):
+        label = label + F.lit(0.0)
+    narrow = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), True)
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), label.cast("string").alias("label"),
+                          F.col("embedding").cast("array<float>" if narrow else "array<double>").alias("embedding"))
     rows = rows.withColumn("rid", F.when(F.coalesce(usable, F.lit(False)),
                                          F.xxhash64("label", "embedding", F.size("embedding"))))
     reps = checkpointed(rows.where("rid is not null").groupBy("rid").agg(

@@ -63,6 +63,49 @@ FROM p JOIN g{_GROUP_LEVELS} g ON p.id = g.id JOIN b0 s ON p.lang IS NOT DISTINC
      CROSS JOIN b{_GROUP_LEVELS} t"""
 
 
+#: smallest id reachable by links, from relations ids(id) and links(x, y)
+_REACH = """reach(x, y) AS (
+  SELECT id, id FROM ids UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+comp AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)"""
+
+
+def ngram_jaccard() -> str:
+    """All pairs of documents that share a shingle, compared by exact counts; components by recursion."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (
+  SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                        ELSE list_transform(range(len(ws) - 4), lambda i: array_to_string(ws[i + 1:i + 5], ' ')) END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+ids AS (SELECT doc_id AS id FROM documents),
+{_REACH}
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN comp ON comp.x = d.doc_id""".replace("\\\\", "\\")
+
+
+def embedding_links() -> str:
+    """Cosines of all pairs of one label in double precision; components by recursion."""
+    return f"""WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(CAST(c AS DOUBLE)))) = 0),
+u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS size FROM v WHERE list_dot_product(e, e) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.98),
+ids AS (SELECT vec_id AS id FROM embeddings),
+{_REACH}
+SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN comp ON comp.x = vec_id"""
+
+
 ORACLE_SQL = {
+    "op8_ngram_jaccard": ngram_jaccard(),
+    "op9_grid_order_join": embedding_links(),
     "op12_merkle_butterfly": merkle_manifest(),
 }

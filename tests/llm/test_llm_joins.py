@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from storelens.llm import embedding_join, graph, ngram_join
 from storelens.llm.textops import shingle_set
@@ -128,6 +129,38 @@ def test_embedding_join(spark, monkeypatch):
     assert embedding_join.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind, labels", [("bigint", [1 << 40, (1 << 40) + 1, -5]), ("string", ["x", "1", ""]), ("double", [0.5, 0.0, -0.0])])
+def test_label_and_vector_types(spark, kind, labels):
+    """Labels of other types, vectors of doubles whose cosine lies closer to the threshold than floats can tell."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(4, 6))
+    rows = [(k, (base[k % 4] + rng.normal(size=6) * (k % 3) * 0.05).tolist(), labels[k % 3]) for k in range(60)]
+    edge = np.array([1.0, 0.0]), np.array([0.98, np.sqrt(1 - 0.98 ** 2) * (1 + 1e-9)])  # a hair below the threshold
+    rows += [(100, edge[0].tolist(), labels[0]), (101, edge[1].tolist(), labels[0])]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}").select(
+        "*", *[F.lit("clash").alias(c) for c in ("rid", "m", "n", "dims", "block")])
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embedding_join.near_duplicates(df).collect()), key=str)
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j])
+             and unit[i] @ unit[j] >= 0.98]
+    comp = roots(len(rows), pairs, [r[0] for r in rows])
+    count = np.bincount(np.array(pairs).ravel(), minlength=len(rows))
+    assert got == sorted(((r[0], int(count[i]), comp[i]) for i, r in enumerate(rows)), key=str)
+
+
+def test_each_block_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(embedding_join, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    reps = spark.createDataFrame([(k, "a", rng.normal(size=5).tolist(), 1) for k in range(400)],
+                                 "rid long, label string, embedding array<double>, m long")
+    blocks = embedding_join._blocks(reps, {5: np.eye(5)}, 0.2).cache()
+    found = sorted(map(tuple, embedding_join._pairs(blocks).collect()))
+    assert len(found) == len(set(found))
+    rows = blocks.select("block", "lo", "hi").collect()
+    near = lambda x, y: all(a <= b + 1 and c <= d + 1 for a, b, c, d in zip(x.lo, y.hi, y.lo, x.hi))
+    assert found == sorted((min(x.block, y.block), max(x.block, y.block)) for i, x in enumerate(rows) for y in rows[:i + 1] if near(x, y))
+
+
 def test_embedding_table(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     got = embedding_join.op9_grid_order_join(spark, SF).collect()
