@@ -35,20 +35,25 @@ def labelled_sample(docs: DataFrame, keys: DataFrame, cls: Column, per_class: in
 
     ``keys`` holds ids and whatever ``cls`` needs. Ids are taken in the order
     of their hash, so reruns take the same ones; rows with a null id or class
-    are left out. The window keeps ``per_class`` rows per class and task before
-    its shuffle (WindowGroupLimit); the join then carries a bounded id list.
+    are left out. An id counts once however often it is labelled (the smallest class)
+    and however many documents carry it (the one whose text has the smallest hash).
+    Before ids are ranked, a cut by their hash leaves about ``2 * per_class`` of each
+    class; the join then carries a bounded id list.
     """
     from pyspark.sql import Window
 
-    ids = (keys.select(F.col(id_col).alias("_id"), cls.alias("_cls"))
-           .where("_id is not null and _cls is not null"))
+    ids = (keys.select(F.col(id_col).alias("_id"), cls.alias("_cls")).where("_id is not null and _cls is not null")
+           .groupBy("_id").agg(F.min("_cls").alias("_cls")))
+    size = ids.groupBy("_cls").agg(F.count(F.lit(1)).alias("_n"))
+    cut = F.xxhash64("_id") / F.lit(2.0 ** 64) + 0.5 <= (2 * per_class + 50) / F.col("_n")
     w = Window.partitionBy("_cls").orderBy(F.xxhash64("_id"), F.col("_id"))
-    ids = ids.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_class)
-    ids = ids.groupBy("_id").agg(F.min("_cls").alias("_cls"))
+    ids = (ids.join(size, "_cls").where(cut).withColumn("_rn", F.row_number().over(w))
+           .where(F.col("_rn") <= per_class).select("_id", "_cls"))
+    text = F.coalesce("_text", F.lit(""))
+    one = F.min(F.struct(F.xxhash64(text).alias("h"), text.alias("t")))
     return (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-            .join(F.broadcast(ids), "_id")
-            .select(F.xxhash64("_id").alias("_h"), "_id", F.coalesce("_text", F.lit("")).alias("text"),
-                    F.col("_cls").alias("cls")))
+            .join(F.broadcast(ids), "_id").groupBy("_id", "_cls").agg(one.alias("_one"))
+            .select(F.xxhash64("_id").alias("_h"), "_id", F.col("_one.t").alias("text"), F.col("_cls").alias("cls")))
 
 
 def _pieces(batch: pa.RecordBatch, at: int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:

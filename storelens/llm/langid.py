@@ -138,10 +138,22 @@ class LanguageModel:
         return best, score * chance[best] / (len(names) - 1)
 
 
+FIT_ROWS = 8000  #: documents (16 KB of features each) that the machines are fitted on at most
+
+
 def learn_languages(docs: DataFrame, per_class: int = 600) -> LanguageModel | None:
-    """Fit on documents whose crc32 of the id mod 4 is not 2 and whose lang is not null."""
+    """Fit on documents whose crc32 of the id mod 4 is not 2 and whose lang is not null.
+
+    ``FIT_ROWS`` documents in all at most: ``per_class`` a language, fewer where there
+    are many; of more than ``FIT_ROWS`` lang values the most frequent are learned.
+    """
     known = docs.where((fold("doc_id", 4) != 2) & (fold("doc_id", 4) >= 0)).where("lang is not null")
-    sample = labelled_sample(docs, known, F.col("lang"), per_class)
+    langs = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    found = langs.count()
+    if found > FIT_ROWS:
+        top = langs.orderBy(F.desc("n"), "lang").limit(FIT_ROWS).select("lang")
+        known = known.join(top, "lang", "left_semi")
+    sample = labelled_sample(docs, known, F.col("lang"), max(1, min(per_class, FIT_ROWS // max(found, 1))))
 
     def fn(texts: pa.Array) -> list:
         got = [features(t.as_py()) for t in texts]

@@ -46,6 +46,31 @@ def test_edge_rows(spark, edge):
     assert q[q.doc_id == 1].score.item() == q[q.doc_id == 2].score.item()
 
 
+def test_sample_counts_ids_not_rows(spark):
+    from pyspark.sql import functions as F
+
+    from storelens.llm.common import labelled_sample
+    ids = spark.range(4000)
+    docs = ids.select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    docs = docs.unionByName(spark.range(3000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("again "), "id").alias("text")))
+    labels = ids.select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    labels = labels.unionByName(spark.range(3000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(1).alias("quality")))
+    got = labelled_sample(docs, labels, F.col("quality"), 200).collect()
+    assert len({r._id for r in got}) == len(got) == 400 and sum(r.cls for r in got) == 200
+    # reruns, also over other partitions, take the same rows
+    again = labelled_sample(docs.repartition(7), labels.repartition(5), F.col("quality"), 200).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    few = labelled_sample(docs, labels.where("doc_id < 6"), F.col("quality"), 200).collect()
+    assert sorted(r._id for r in few) == [0, 1, 2, 3, 4, 5]
+
+
+def test_many_languages_fit_in_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "FIT_ROWS", 40)
+    rows = [(k, f"wort{k % 100} und noch ein satz {chr(97 + k % 26) * 5}", f"l{k % 100}") for k in range(2000)]
+    model = langid.learn_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert 0 < sum(map(len, model.members.values())) <= 40
+
+
 def test_nothing_to_learn(spark, edge, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.learn_quality(edge, labels) is None and toxicity.learn_toxicity(edge, labels) is None
