@@ -8,14 +8,13 @@ steps find all of them at once, each step one aggregate over the histogram of
 (source, size). Sums are exact decimals, so reruns agree bit for bit.
 
 Rates become copies per cell of equal source and size, from large to small
-sizes. Above ``CARRY_SIZE`` words the running sum of a source's copies is
-rounded, so the copies down to any size are within half a copy of the rates and
-their words within half of the source's largest document; at ``CARRY_SIZE`` and
-below, each cell carries on the words the cells before it took too few or too
-many. Inside a cell the documents of lowest hash get the odd copies.
-
-Bounds: the tables of sources and cells are aggregates; the carried list of a
-source has at most ``CARRY_SIZE`` entries. Running sums go over blocks of
+sizes: the running sum of a source's copies is rounded, so the copies down to any
+size are within half a copy of the rates and their words within half of the
+source's largest document. What is left of the target is then made up by copies of
+ever smaller documents, until the difference is below the smallest that has room.
+Inside a cell the documents of lowest hash get the odd copies.
+
+Bounds: the tables of sources and cells are aggregates. Running sums go over blocks of
 ``BLOCK_SIZES`` sizes first and then inside each block: a text under 2^31 bytes
 has at most 2^30 words, so a window orders at most 2^15 rows. A cell that holds a large part of all rows is ranked in
 1,024 hash buckets. Documents' texts never enter a shuffle.
@@ -31,10 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storelens.llm.common import checkpointed, table
+from storelens.llm.ranks import positions
 
 WEIGHTS = (5, 2, 1)     #: repeating over the sources in code point order
 MAX_RATE = 3
-CARRY_SIZE = 4096
 BLOCK_SIZES = 1 << 15
 NEWTON_STEPS = 60
 TOLERANCE = 1e-9
@@ -133,28 +132,36 @@ def _round_running(rated: DataFrame) -> DataFrame:
 
 
 def copies_per_cell(cells: DataFrame, goal: DataFrame) -> DataFrame:
-    """(source, size, n, rate) -> copies: whole numbers whose words come near each source's target."""
+    """(source, size, n, rate) -> copies: whole numbers whose words come near each source's target.
+
+    Rounded running sums of the copies come within half of the largest document.
+    What a source is then short of, or over, is made up by rounds: each takes the
+    largest size that still fits into the difference and has copies to add or to
+    drop, as many of them as fit, and goes on with smaller sizes. A round leaves less
+    than the size it used, so the differences shrink at least by half.
+    """
     same = F.col("c.source").eqNullSafe(F.col("g.source"))
     rate = F.when(F.col("full"), float(MAX_RATE)).otherwise(
         F.least(F.exp(F.least(F.col("a") * F.col("size") / F.col("mean"), F.lit(60.0))), F.lit(float(MAX_RATE))))
     rated = cells.alias("c").join(goal.alias("g"), same).select("c.source", "size", "n", rate.alias("rate"))
-    large = _round_running(rated.where(F.col("size") > CARRY_SIZE))
-    left = large.groupBy("source").agg(
-        _exact(F.col("size") * (F.col("n") * F.col("rate") - F.col("copies"))).alias("left"))
-    lists = rated.where(F.col("size") <= CARRY_SIZE).groupBy("source").agg(
-        F.reverse(F.array_sort(F.collect_list(F.struct("size", "n", "rate")))).alias("cells"))
-    carried = (lists.alias("c").join(left.alias("g"), same, "left")
-               .select("c.source", "cells", F.coalesce("left", F.lit(0.0)).alias("left"))
-               .withColumn("done", F.expr(f"""
-        aggregate(cells, named_struct('left', left, 'out', cast(array() as array<struct<size: bigint, copies: bigint>>)),
-          (s, c) -> named_struct(
-            'left', s.left + c.size * (c.n * c.rate
-                    - greatest(0, least(c.n * {MAX_RATE}, round(c.n * c.rate + s.left / c.size)))),
-            'out', concat(s.out, array(named_struct('size', c.size, 'copies',
-                    cast(greatest(0, least(c.n * {MAX_RATE}, round(c.n * c.rate + s.left / c.size))) as bigint))))),
-          s -> s.out)"""))
-               .select("source", F.explode("done").alias("d")).select("source", "d.size", "d.copies"))
-    return large.select("source", "size", "copies").unionByName(carried)
+    now = checkpointed(_round_running(rated).select("source", "size", "n", "copies"))
+    sums = now.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
+    left = checkpointed(sums.alias("c").join(goal.alias("g"), same).select(
+        "c.source", F.round(F.col("target") - F.col("got")).cast("long").alias("left"), F.lit((1 << 63) - 1).alias("last")))
+    while True:
+        room = F.when(F.col("left") > 0, F.col("n") * MAX_RATE - F.col("copies")).otherwise(F.col("copies"))
+        fits = (now.alias("c").join(left.alias("g"), same).where((F.col("size") <= F.abs("left")) & (F.col("size") < F.col("last")))
+                .select("c.source", "size", "left", room.alias("room")).where("room > 0"))
+        best = fits.groupBy("source").agg(F.max(F.struct("size", "room", "left")).alias("b")).select(
+            "source", "b.size", (F.signum("b.left").cast("long") * F.least("b.room", F.expr("abs(b.left) div b.size"))).alias("more"))
+        best = checkpointed(best)
+        if best.isEmpty():
+            return now.select("source", "size", "copies")
+        cell = same & (F.col("c.size") == F.col("g.size"))
+        now = checkpointed(now.alias("c").join(best.alias("g"), cell, "left").select(
+            "c.source", "c.size", "n", (F.col("copies") + F.coalesce("more", F.lit(0))).alias("copies")))
+        left = checkpointed(left.alias("c").join(best.alias("g"), same).select(
+            "c.source", (F.col("left") - F.col("more") * F.col("size")).alias("left"), F.col("size").alias("last")))
 
 
 def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), source_col: str = "source",
@@ -201,14 +208,22 @@ def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it; documents with no copy go.
 
-    Copies are looked up by (doc_id, source, size): rows that agree in these are
-    taken alike, the most copies of any of them.
+    Copies are looked up by (doc_id, source, size). Rows that agree in these share
+    the copies of all of them evenly, by their place in one sort (a group of any size
+    spreads over tasks), so a source takes what the mix planned.
     """
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
-    plan = mix(docs).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
+    keys = ["doc_id", "source", "size"]
+    plan = checkpointed(mix(docs).groupBy(*keys).agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows"))
+                        .where("_all > 0"))
     sized = docs.select(*cols, n_words(F.col("text")).alias("_size"))
     same = (F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source"))
             & (F.col("_size") == F.col("p.size")))
-    return (sized.alias("d").join(plan.alias("p"), same)
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-            .select(*[f"d.{c}" for c in cols]))
+    met = sized.alias("d").join(plan.alias("p"), same).select(*[f"d.{c}" for c in cols], "_size", "_all", "_rows")
+    alike = positions(met.where("_rows > 1").withColumn("_g", F.struct("doc_id", "source", "_size")), ["text"], "_g")
+    # the place-th of _rows rows takes the whole numbers between two multiples of _all / _rows
+    part = F.expr("(pos + 1) * _all div _rows - pos * _all div _rows")
+    taken = (met.where("_rows = 1").select(*cols, F.col("_all").alias("_copies"))
+             .unionByName(alike.select(*cols, part.alias("_copies"))))
+    return (taken.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+            .select(*cols))

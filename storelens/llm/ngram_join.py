@@ -562,14 +562,26 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every group of near copies the document with the smallest id stays.
+    """Pipeline stage: of every group of near copies one document stays, the one with the smallest (id, text hash).
 
-    Rows that repeat an id stay once; rows without words or without an id stay.
+    Rows are told apart by id and text, so rows without an id, and different texts
+    under one id, are documents of their own; a null id comes last in its group.
+    Rows that repeat id and text stay once (the smallest of their other columns).
+    Rows without words stay.
     """
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
-    docs = docs.select(*cols)
-    found = jaccard_components(docs).where("doc_id is not null").groupBy("doc_id").agg(
-        F.min((F.col("doc_id") != F.col("component_id")).cast("int")).alias("_gone"), F.count(F.lit(1)).alias("_times"))
-    marked = docs.join(found.where("_gone = 1 or _times > 1"), "doc_id", "left").where("coalesce(_gone, 0) = 0")
-    return (marked.where("_times is null").select(*cols)
-            .unionByName(marked.where("_times > 1").dropDuplicates(["doc_id"]).select(*cols)))
+    docs = docs.select(*cols).withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    rows = jaccard_components(docs.select(F.col("_key").alias("doc_id"), "text")).where("n_shingles > 0")
+    keys = checkpointed(rows.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("_group"),
+                                                                       F.count(F.lit(1)).alias("_times")))
+    shared = keys.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    members = keys.join(shared, "_group", "left_semi").select("_key", "_group")
+    named = docs.select("_key", "doc_id").join(members, "_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key"))
+    stays = named.groupBy("_group").agg(first.alias("_first")).select(F.col("_first._key").alias("_key"))
+    gone = members.join(stays, "_key", "left_anti").select("_key", F.lit(True).alias("_gone"))
+    flags = keys.join(gone, "_key", "left").where("_gone or _times > 1").select("_key", "_times", "_gone")
+    left = docs.join(flags, "_key", "left").where("_gone is null")
+    again = left.where("_times is not null").groupBy("_key").agg(
+        F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("r")).select(*[f"r.{c}" for c in cols])
+    return left.where("_times is null").select(*cols).unionByName(again)
