@@ -72,6 +72,39 @@ def join_dim(fact: DataFrame, dim: DataFrame, on: str | Sequence[str] | Column,
     return fact.join(F.broadcast(dim) if small else dim, on, how)
 
 
+#: Session settings under which Spark adds the Bloom filter of :func:`semi_join` at run time; its own defaults ask
+#: for a filtered side of 10 MB at most. ``numBits`` bounds the filter, which is what reaches every task.
+BLOOM_SETTINGS = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10g",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "10g",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "400000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(1 << 31),
+}
+
+
+def semi_join(fact: DataFrame, dim: DataFrame, key: str, small: bool | None = None) -> DataFrame:
+    """Rows of ``fact`` whose ``key`` is in ``dim``; before a shuffle join, rows that cannot be go first.
+
+    A small ``dim`` is broadcast. A large one is shuffled with the fact table, so the
+    fact's rows are reduced below the shuffle: by the range of the dimension's
+    keys (one aggregate over the key column; as a filter it reaches the scan and skips
+    row groups), and by a Bloom filter of them, which Spark builds and pushes below
+    the exchange when the session has :data:`BLOOM_SETTINGS`. Both only drop rows that
+    the join drops too.
+    """
+    keys = dim.select(key)
+    if small is None:
+        small = fits_broadcast(keys)
+    if small:
+        return fact.join(F.broadcast(keys), key, "left_semi")
+    low, high = keys.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return fact.join(keys, key, "left_semi")
+    within = F.col(key).between(F.lit(low), F.lit(high))
+    return fact.where(within).join(keys.where(within), key, "left_semi")
+
+
 def heavy_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
     """Keys that hold at least ``share`` of the rows: 1 / share of them at most, none missed.
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storelens.plans import customers, products, sales, stores
+from storelens.sources.changes import with_changes
 from storelens.sources.tables import ShopTables, read_tables, write_tables
 from storelens.sources.tpch import event_orders, tables_from_tpch
 
@@ -43,6 +44,14 @@ class TestTables:
         """The same tables with every order delivered a second time."""
         return self.t.with_orders(self.t.orders.unionByName(self.t.orders), repeated=True)
 
+    @property
+    def changed(self) -> ShopTables:
+        """The same tables after a change feed: every order's total doubled, then those of 1998 deleted, delivered latest first."""
+        o = self.t.orders
+        doubled = o.withColumn("total", (F.col("total") * 2).cast(o.schema["total"].dataType)).select("*", F.lit(1).alias("version"), F.lit(False).alias("deleted"))
+        gone = self.t.orders_in([1998]).select("*", F.lit(2).alias("version"), F.lit(True).alias("deleted"))
+        return with_changes(self.t, gone.unionByName(doubled))
+
 
 def _flat_map(df: DataFrame) -> DataFrame:
     return df.select("storeid", "city", "latitude", "longitude",
@@ -63,6 +72,7 @@ def _round(cols, digits=6):
 REPORTS: dict[str, tuple[Callable[[TestTables], DataFrame], Callable | None]] = {
     "top_stores": (lambda d: sales.top_stores(d.t, RANK_YEARS), None),
     "worst_stores": (lambda d: sales.worst_stores(d.t, RANK_YEARS), None),
+    "top_stores_changed": (lambda d: sales.top_stores(d.changed, RANK_YEARS), None),
     "store_locations": (lambda d: stores.store_locations(d.t), None),
     "customer_locations": (lambda d: customers.customer_locations(d.t), None),
     "store_annual_revenues": (lambda d: sales.store_annual_revenues(d.t, PIVOT_YEARS), None),

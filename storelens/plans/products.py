@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.text import short_money
-from storelens.operators.joins import join_dim, split_join
+from storelens.operators.joins import join_dim, semi_join, split_join
 from storelens.operators.quantiles import boxplot_stats
 from storelens.plans.common import check_mode
 from storelens.plans.sales import RANK_YEARS
@@ -77,8 +77,7 @@ def product_size_sales(t: ShopTables, mode: str = "reference") -> DataFrame:
 def customer_product_counts(t: ShopTables, min_count: int = 2) -> DataFrame:
     """Items per (customer, product name) for known customers, kept when >= ``min_count``."""
     # one narrow row per order meets the customers, not one per item
-    orders = join_dim(t.orders.select("orderid", "customerid"), t.customers.select("customerid"), "customerid",
-                      "left_semi", small=t.is_small("customers"))
+    orders = semi_join(t.orders.select("orderid", "customerid"), t.customers, "customerid", small=t.is_small("customers"))
     per_sku = split_join(t.orderitems, orders, "orderid", t.hot_orders).groupBy("customerid", "sku").agg(F.count(F.lit(1)).alias("n"))
     named = join_dim(per_sku, t.products.select("sku", "name"), "sku", small=t.is_small("products"))
     return (named.groupBy("customerid", "name").agg(F.sum("n").alias("order_count"))

@@ -1,5 +1,6 @@
 """Sources and sinks: the five tables in, materialised reports out."""
 
+from storelens.sources.changes import apply_changes, latest_changes, with_changes  # noqa: F401
 from storelens.sources.rejects import ReadResult, coerce_with_rejects, read_with_rejects, reject_counts  # noqa: F401
 from storelens.sources.sinks import json_rows, read_report, write_report  # noqa: F401
 from storelens.sources.tables import (  # noqa: F401

@@ -235,6 +235,27 @@ def append_orders(orders: DataFrame, path: str, files: int = 1) -> None:
     _by_month(orders, files).write.mode("append").partitionBy(MONTH).parquet(f"{path.rstrip('/')}/orders")
 
 
+def restore_months(fs, hadoop, root: str, work: str) -> None:
+    """Put back the months that a run which ended between two renames had set aside, and drop its other files."""
+    if fs.exists(hadoop(work)):
+        for kept in fs.listStatus(hadoop(work)):
+            name = kept.getPath().getName()
+            if name.startswith("old-") and not fs.exists(hadoop(f"{root}/{name[4:]}")):
+                fs.rename(kept.getPath(), hadoop(f"{root}/{name[4:]}"))
+        fs.delete(hadoop(work), True)
+
+
+def replace_month(fs, hadoop, root: str, work: str, name: str, new: str) -> None:
+    """A month's folder set aside, the new one (if it exists) put in its place, the old one deleted."""
+    month, old = hadoop(f"{root}/{name}"), hadoop(f"{work}/old-{name}")
+    fs.mkdirs(hadoop(work))
+    if fs.exists(month) and not fs.rename(month, old):
+        raise OSError(f"cannot replace {name}")
+    if fs.exists(hadoop(new)) and not fs.rename(hadoop(new), month):
+        raise OSError(f"cannot replace {name}")
+    fs.delete(old, True)
+
+
 def compact_orders(spark: SparkSession, path: str, file_bytes: int = 128 << 20, at_least: int = 2) -> list[str]:
     """Rewrite the months that have many small files into files of about ``file_bytes``; returns their folders' names.
 
@@ -248,12 +269,7 @@ def compact_orders(spark: SparkSession, path: str, file_bytes: int = 128 << 20,
     root = f"{path.rstrip('/')}/orders"
     fs, hadoop = file_system(spark, root)
     work = f"{path.rstrip('/')}/_compacting"
-    if fs.exists(hadoop(work)):  # an earlier run's months: whole ones go into place, the rest is dropped
-        for kept in fs.listStatus(hadoop(work)):
-            name = kept.getPath().getName()
-            if name.startswith("old-") and not fs.exists(hadoop(f"{root}/{name[4:]}")):
-                fs.rename(kept.getPath(), hadoop(f"{root}/{name[4:]}"))
-        fs.delete(hadoop(work), True)
+    restore_months(fs, hadoop, root, work)
     done = []
     for folder in fs.listStatus(hadoop(root)):
         name = folder.getPath().getName()
@@ -266,10 +282,7 @@ def compact_orders(spark: SparkSession, path: str, file_bytes: int = 128 << 20,
         new = f"{work}/new-{uuid.uuid4().hex[:12]}"
         (spark.read.parquet(f"{root}/{name}").repartitionByRange(wanted, "orderdate", "orderid")
          .sortWithinPartitions("orderdate", "orderid").write.parquet(new))
-        old = f"{work}/old-{name}"
-        if not (fs.rename(folder.getPath(), hadoop(old)) and fs.rename(hadoop(new), folder.getPath())):
-            raise OSError(f"cannot replace {name}")
-        fs.delete(hadoop(old), True)
+        replace_month(fs, hadoop, root, work, name, new)
         done.append(name)
     fs.delete(hadoop(work), True)
     return sorted(done)
