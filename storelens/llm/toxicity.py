@@ -241,8 +241,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500) ->
     votes = np.stack([np.frombuffer(r.v, np.int8) for r in got]).astype(float)
     share = min(max(np.mean([r.cls for r in got]), 1e-3), 1 - 1e-3)  # the sample's prior
     post, _ = label_model(votes, share)
-    weight = post * prior / max(post.mean(), 1e-6) + (1 - post) * (1 - prior) / max((1 - post).mean(), 1e-6)
-    model.weights = fit_logistic(x, post, weight, l2=1.0, steps=30)
+    # from the sample's balance of the classes to that of all labels: a text without votes gets the prior, not a half
+    toxic, clean = post * prior / share, (1 - post) * (1 - prior) / (1 - share)
+    model.weights = fit_logistic(x, toxic / (toxic + clean), toxic + clean, l2=1.0, steps=30)
     return model
 
 

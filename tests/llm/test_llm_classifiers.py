@@ -114,6 +114,9 @@ def test_labels_are_no_votes(spark):
     labels = spark.createDataFrame([(d, 0 if d in wrong else t) for d, _, t in rows], "doc_id long, toxic int")
     model = toxicity.learn_toxicity(docs, labels)
     score = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model, ["doc_id"]).collect()}
+    # a sample of equal classes: texts without votes still get the prior of all labels
+    even = toxicity.learn_toxicity(docs, labels, per_class=30)
+    assert even.score("") < 0.4 and even.score("wort1 wort2") < 0.5
     assert sum(score[d] > 0.5 for d in wrong) >= 0.8 * len(wrong) and sum(score[d] > 0.5 for d, *_ in rows) <= 105
 
 
