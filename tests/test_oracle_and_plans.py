@@ -9,8 +9,9 @@ from shop_fixtures import SF
 
 import __spark_entry__ as entry
 from storelens.check import compare
-from storelens.plans import catalog
+from storelens.plans import catalog, sales
 from storelens.session import plan_text
+from storelens.sources import tables_from_tpch
 
 
 def test_registry_and_oracle_keys():
