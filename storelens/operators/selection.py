@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from storelens.session import ensure_checkpoint_dir
 
-BITS = 12           #: bits of a radix digit
+BITS = 16           #: bits of a radix digit
 ACCURACY = 10_000   #: the sketch's rank error is at most 1 / ACCURACY of a group's rows
 
 
